@@ -1,0 +1,14 @@
+from pyspark.sql import Row
+
+import __spark_entry__ as entry
+
+
+def test_p8_found_gives_units_of_every_document(spark, tmp_path):
+    texts = [None, "", " \n ", "Ala ma kota. Kot ma Alę!\n\nNagłówek\n\nKoniec."]
+    spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry.queries()["p8_found"](spark, str(tmp_path))
+    assert found.columns == ["doc_id", "sent_start"]
+    rows = {tuple(r) for r in found.collect()}
+    # every paragraph begins a unit; rows without text have none
+    assert {(3, 0), (3, 26), (3, 36)} <= rows
+    assert {k for k, _ in rows} == {3}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, mixing, neardup, quality, repetition, splitting, token_budget
+from . import encoding, mixing, neardup, quality, repetition, sentences, splitting, token_budget
 from .scan import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def p7_shares(spark, d):
     return mixing.shares(_document_tokens(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "sent_start")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
