@@ -1,0 +1,50 @@
+import numpy as np
+from pyspark.sql import Row
+
+import __spark_entry__ as entry
+from whitebrook.llm import repetition
+
+
+def _text(letters):
+    return "".join(map(chr, letters))
+
+
+def _brute(text, window=30):
+    letters = [c for c in text.lower() if c.isalpha()]
+    seen, hit = set(), [False] * len(letters)
+    for i in range(len(letters) - window + 1):
+        run = "".join(letters[i : i + window])
+        if run in seen:
+            hit[i : i + window] = [True] * window
+        seen.add(run)
+    return sum(hit) / len(letters) if letters else 0.0
+
+
+def _far(seed=0):
+    """Four-letter random text of 38,000 letters whose first 12,000 come again."""
+    first = np.random.default_rng(seed).integers(97, 101, 26_000)
+    return _text(np.concatenate([first, first[:12_000]]))
+
+
+def _short_copies(n=800_000, seed=1):
+    """Random letters with copies of 34 letters from anywhere before."""
+    rng = np.random.default_rng(seed)
+    out = rng.integers(97, 123, n)
+    for at in range(n // 8, n, 77):
+        source = int(rng.integers(0, at - 34))
+        out[at : at + 34] = out[source : source + 34]
+    return _text(out[:n])
+
+
+def test_p1_found_finds_repeats_that_the_compressor_misses(spark, tmp_path):
+    texts = [_far(), _short_copies(), None, "", "12 34 !", "Ala ma kota", "Ala ma kota. " * 20, _text(np.random.default_rng(3).integers(97, 123, 5_000))]
+    # the premise: at least one of the first two lies outside the band
+    outside = []
+    for t in texts[:2]:
+        whole, least, limit, least_limit = repetition.compression(repetition.letters_of(t))
+        outside.append(whole > limit and least > least_limit)
+    assert any(outside)
+    spark.createDataFrame([Row(row_id=i, text=t) for i, t in enumerate(texts)], "row_id long, text string").write.parquet(str(tmp_path / "corpus.parquet"))
+    found = {r.row_id for r in entry.queries()["p1_found"](spark, str(tmp_path)).collect()}
+    assert found == {i for i, t in enumerate(texts) if t and _brute(t) >= 0.30}
+    assert {0, 1, 6} <= found

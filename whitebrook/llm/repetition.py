@@ -1,14 +1,14 @@
 """Repetition inside a single document, by compression bands.
 
 Only the letters of a text count, lower-cased and in order. Each text is compressed with zstandard
-as a whole and in fixed chunks. A text whose ratio lies above the limit for its length cannot hold
-the wanted share of repeats and is put aside; what lies below is measured exactly.
-
-The limit follows from what a compressor can do with a text of which a share s is repeated in
-stretches of w letters or more: the other letters cost at most the entropy of single letters, and
-each stretch costs at most MATCH_BYTES. So the ratio is at most
+as a whole and in fixed chunks, and falls in a band by its ratio. The limit is what a compressor
+that finds every repeat gives for a share s that is repeated in stretches of w letters or more:
 (1 - s) * entropy / 8 + s * MATCH_BYTES / w + FRAME_BYTES / n, which falls with the length n.
 
+The limit is an estimate and no bound: zstandard tries few of the places where a text could go on
+and misses far or ambiguous repeats. So no row is dropped by its band; repetitive_rows measures
+every row exactly, which costs about as much as the compression.
+
 Null, empty and letterless texts: 0 letters, share 0.0, band "empty".
 """
 
@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .scan import code_points, is_letter, scan
 
@@ -97,7 +98,7 @@ def _packed(letters: np.ndarray) -> tuple[bytes, int, float]:
 
 
 def ratio_limit(n: int, entropy: float, share: float = MIN_SHARE, window: int = WINDOW) -> float:
-    """The largest ratio that a text of n letters with that share of repeats can have."""
+    """The ratio to expect at most of a text of n letters with that share of repeats."""
     repeated = MATCH_BYTES / window
     literal = max(entropy / 8, repeated)
     return (1 - share) * literal + share * repeated + FRAME_BYTES / max(n, 1)
@@ -124,7 +125,7 @@ def repetition(df: DataFrame, key: str = "row_id", text: str = "text", window: i
     """(key, n_letters, ratio_doc, ratio_chunk, band, repeated_share).
 
     band is "empty", "repetitive" (either ratio under its limit) or "plain"; exact="all" measures
-    every share, exact="band" only those in the band, with null for the others.
+    every share, exact="band" only those in the band, with null for the others, and may miss some.
     """
     kind = dict(df.dtypes)[key]
 
@@ -149,5 +150,9 @@ def repetition(df: DataFrame, key: str = "row_id", text: str = "text", window: i
 
 def repetitive_rows(df: DataFrame, key: str = "row_id", text: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """Keys of the rows whose share of repeated letters is at least min_share."""
-    measured = repetition(df, key, text, window, min_share, exact="band")
-    return measured.where((measured.band == "repetitive") & (measured.repeated_share >= min_share)).select(key)
+    kind = dict(df.dtypes)[key]
+
+    def batch(keys, texts):
+        return [keys, [repeated_share(t, window) for t in texts.to_pylist()]]
+
+    return scan(df, [key, text], f"{key} {kind}, repeated_share double", batch).where(F.col("repeated_share") >= min_share).select(key)
