@@ -1,0 +1,106 @@
+"""Nulls, empties, ties and brute force for the queries of problems 2 to 7, on small fixtures."""
+
+import itertools
+import random
+import re
+
+import __spark_entry__ as entry
+from whitebrook.llm import bpe
+
+ENCODER = bpe.load()
+TEXTS = ["Ala ma kota, a kot ma Alę.", "  spacje\n\n i\tznaki ", "zażółć gęślą jaźń 12345", "漢字かな交じり文です。", "it's we'll 🙂👍🏽", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<|endoftext|>"]
+
+
+def brute_ids(text):
+    """BPE by its definition, for each pre-token."""
+    return [i for piece in ENCODER.pieces(text) for i in ENCODER._merge(piece.encode())]
+
+
+def put(spark, path, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(str(path / f"{name}.parquet"))
+
+
+def run(spark, path, name):
+    return [tuple(r) for r in entry.queries()[name](spark, str(path)).collect()]
+
+
+def test_both_encoders_equal_brute_force():
+    for text in TEXTS:
+        ids = brute_ids(text)
+        assert ENCODER.encode(text) == ids
+        assert [i for p in ENCODER.pieces(text) for i in ENCODER.encode_piece(p)] == ids
+        assert ENCODER.count(text) == ENCODER.count(text, trie=False) == len(ids)
+
+
+def test_p6_ids(spark, tmp_path):
+    texts = [*TEXTS, "", " ", None]
+    put(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert dict(run(spark, tmp_path, "p6_ids")) == {i: brute_ids(t or "") for i, t in enumerate(texts)}
+
+
+def test_p5(spark, tmp_path):
+    ten = "a a a a a a a a a a"
+    assert ENCODER.count(ten) == 10
+    put(spark, tmp_path, "corpus", [(i, t, "s" if i else None, None, "d") for i, t in enumerate([ten, ten, None, ""])], "row_id long, text string, source string, lang string, domain string")
+    index = [(0, r, None) for r in (1, 2, 3, 4, 5, 6, 7)] + [(0, 1, False), (1, 1, True), (2, 8, None), (3, 8, None)]
+    put(spark, tmp_path, "embed_index", index, "row_id long, report_id long, skipped boolean")
+    # 7 and 13 of 10 are ties and fit; null fits; 0 does not, but for a report without tokens; 9 covers no row
+    told = [(1, 7), (2, 6), (3, 13), (4, 14), (5, None), (6, 0), (7, 10), (8, 0), (9, 1), (2, 6)]
+    put(spark, tmp_path, "cost_report", told, "report_id long, prompt_tokens long")
+    assert sorted(run(spark, tmp_path, "p5_found")) == [(2,), (4,), (6,), (9,)]
+    rows = run(spark, tmp_path, "p5_budget")
+    assert set(rows) == {("all", None, 4, 20), ("source", None, 1, 10), ("source", "s", 3, 10), ("lang", None, 4, 20), ("domain", "d", 4, 20)} and len(rows) == 5
+
+
+def test_p7_found(spark, tmp_path):
+    put(spark, tmp_path, "documents", [(0, "a a a a a", " A "), (1, "a a a a a", "b"), (2, None, "b"), (3, "", None)], "doc_id long, text string, source string")
+    # 10 tokens: A can reach exactly 0.5 with one use; b cannot reach 0.6; c has no documents
+    put(spark, tmp_path, "mix_targets", [("a", 0.5, 1), ("B", 0.6, 1), ("c", 0.1, 9), ("none", 0.0, 1)], "source string, target_weight double, max_repeats int")
+    assert sorted(run(spark, tmp_path, "p7_found")) == [("B",), ("c",)]
+
+
+def test_p4_found_equals_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghijklmnop") * 2 for _ in range(40)] for _ in range(6)]
+    texts = [" ".join(w) for w in base]
+    for words in base:
+        for edits in (1, 2, 3, 4):
+            other = list(words)
+            for at in rng.sample(range(40), edits):
+                other[at] = "zz"
+            texts.append(" ".join(other))
+    # 4 of 6 and 3 of 5 runs: 3 of 5 is the tie at 0.60; then equal, short, empty and null texts
+    texts += ["k l m n o p", "k l m n o q", "u v w x y z", "u v w x y", texts[0].upper(), texts[1], texts[1], "a b", "a b", "", "", None, None]
+
+    def sets(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        return set(zip(w, w[1:], w[2:]))
+
+    want = set()
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
+        if a is not None and b is not None:
+            x, y = sets(a), sets(b)
+            if a == b or (x | y and 10 * len(x & y) >= 6 * len(x | y)):
+                want.add((i, j))
+    put(spark, tmp_path, "corpus", list(enumerate(texts)), "row_id long, text string")
+    assert set(run(spark, tmp_path, "p4_found")) == want
+
+
+def test_p2_found(spark, tmp_path):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) + "." * (i % 9 == 8) for i in range(300))
+    put(spark, tmp_path, "corpus", [("s", text), (None, text), ("e", None)], "sha string, text string")
+    good = [(i, p) for _, i, p in run(spark, tmp_path, "p2_pieces") if _ == "s"]
+    assert len(good) > 2 and all(len(p) <= 900 for _, p in good)
+    rows = [("s", i, p) for i, p in good] + [("s", 0, good[0][1]), ("gone", 0, "x" * 901), ("s", None, "x"), ("s", 7, good[1][1]), ("s", 20, "y" * 901), ("e", 0, "z")]
+    put(spark, tmp_path, "chunks", rows, "doc_sha string, chunk_idx int, text string")
+    assert set(run(spark, tmp_path, "p2_found")) == {("s", 7), ("s", 20)}
+
+
+def test_p3_found(spark, tmp_path):
+    table = "\n".join(f"| {i} | {i * 7} | {i * 3} |" for i in range(60))
+    texts = [None, "", " \n ", "To jest zwykłe zdanie, które mówi o niczym. " * 20, table]
+    put(spark, tmp_path, "corpus", list(enumerate(texts)), "row_id long, text string")
+    put(spark, tmp_path, "common_words", [("pl", "to", 1), ("pl", None, 2)], "lang string, word string, word_rank int")
+    assert run(spark, tmp_path, "p3_found") == [(4,)]
+    assert len(run(spark, tmp_path, "p3_statistics")) == len(texts)
