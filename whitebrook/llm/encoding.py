@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .scan import scan
 
-CHUNK = 65_536
+CHUNK = 4_096
 OVERLAP = 512
 _AHEAD = 4
 

@@ -7,7 +7,8 @@ a chunk's edge is judged as a whole after the merge. A word belongs to the chunk
 States merge in a tree of FAN children a node; ratios and the rule come last.
 
 Null, empty and blank texts: counts 0, ratios 0.0, not prose and not a case (share of junk 0.0).
-A run of more than OVERHANG characters without whitespace may count as several words.
+A text that holds a run of more than OVERHANG characters without whitespace is counted whole, as
+a chunk's edge inside such a run could count its words twice or cut them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from .scan import code_points, scan
 
-CHUNK = 65_536
+CHUNK = 16_384
 OVERHANG = 4_096
 FAN = 32
 EDGE = 64
@@ -215,9 +216,10 @@ def quality(df: DataFrame, common: frozenset[str] = frozenset(), key: str = "row
         rows = [measure(t, common) for t in texts.to_pylist()]
         return [keys, *map(list, zip(*rows))]
 
-    small = scan(df.where(size <= chunk), [key, text], f"{key} {kind}, {FIELDS}", short)
+    whole = (size <= chunk) | F.coalesce(F.col(text).rlike(rf"(?:^|\s)\S{{{OVERHANG + 1},}}"), F.lit(False))
+    small = scan(df.where(whole), [key, text], f"{key} {kind}, {FIELDS}", short)
 
-    large = df.where(size > chunk).groupBy(key, text).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sha", F.sha2(text, 256))
+    large = df.where(~whole).groupBy(key, text).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sha", F.sha2(text, 256))
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / chunk).cast("int")))
     parts = large.select(F.col(key).alias("_key"), "_sha", "_n", F.length(text).alias("_len"), at.alias("_k"), text).select(
         "_key", "_sha", "_n", "_len", "_k", F.substring(F.col(text), F.col("_k") * chunk, F.lit(chunk + OVERHANG + 1)).alias("_part")
@@ -231,10 +233,9 @@ def quality(df: DataFrame, common: frozenset[str] = frozenset(), key: str = "row
             start, end = 0, min(chunk, length - k * chunk)
             if not before.isspace():  # the word that begins in the chunk before ends there
                 gone = re.match(rf"\S{{0,{OVERHANG}}}", part).end()
-                start = 0 if gone == OVERHANG else min(gone, end)
-            if end < len(part) and not part[end - 1].isspace():
-                more = re.compile(rf"\S{{0,{OVERHANG}}}").match(part, end).end() - end
-                end += 0 if more == OVERHANG else more
+                start = min(gone, end)
+            if start < end < len(part) and not part[end - 1].isspace():
+                end = re.compile(rf"\S{{0,{OVERHANG}}}").match(part, end).end()
             states.append(json.dumps(_state(part[start:end], common)))
         return [keys, shas, ns, ks, states]
 
