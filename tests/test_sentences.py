@@ -1,6 +1,7 @@
 from pyspark.sql import Row
 
 import __spark_entry__ as entry
+from whitebrook.llm import sentences
 
 
 def test_p8_found_gives_units_of_every_document(spark, tmp_path):
@@ -12,3 +13,20 @@ def test_p8_found_gives_units_of_every_document(spark, tmp_path):
     # every paragraph begins a unit; rows without text have none
     assert {(3, 0), (3, 26), (3, 36)} <= rows
     assert {k for k, _ in rows} == {3}
+
+
+def test_words_are_counted_over_all_documents(spark, monkeypatch):
+    texts = [f"Dom {i} stoi. Tutaj jest dr. Nowak i pan Nowak. Tutaj jest inny ul. Długa 5." + " I tak. Tutaj też." * 3 + "\n\nTutaj koniec." for i in range(40)] + [None, "", " \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = [t for t in texts if t and t.strip()]
+    starters = sentences.starters_of(whole)
+    kinds = sentences.Kinds(whole, starters)
+    # with a sample of one document and a few characters, the words are still those of all
+    monkeypatch.setattr(sentences.sample, "__defaults__", (1, 30))
+    model = sentences.fitted(df)
+    assert model.starters == starters and starters["Tutaj"] == 1
+    assert model.ties == kinds.ties() and model.marked == kinds.marked() and model.marked
+    got, known = sentences.statistics(df, whole)
+    assert got == starters
+    for name in ("free", "name", "other", "digit", "low"):
+        assert getattr(known, name) == getattr(kinds, name)

@@ -10,8 +10,10 @@ The scores of the places come from a log-linear model that is trained here, with
 texts with capitals, what follows a stop mostly tells whether it ended a sentence, and words that
 begin paragraphs tell from names. The same places, stripped of their capitals, train the scores
 for texts that are written without; line ends of Thai texts, stripped to spaces, train those of a
-script without stops. The model is fitted on at most TRAIN documents, taken in the order of a hash
-of their key, and on at most TRAIN_CHARS characters of each; it is applied to every document whole.
+script without stops. What is known of words (which begin sentences, which stand before stops that
+do not end one) is counted over all documents whole, by distributed aggregation. Only the weights
+are fitted on a sample: at most TRAIN documents, taken in the order of a hash of their key, and at
+most TRAIN_CHARS characters of each. The model is applied to every document whole.
 
 Null, empty and blank texts have no units.
 """
@@ -167,13 +169,32 @@ def _ends_paragraph(gap: str) -> bool:
     return gap.count("\n") > 1
 
 
-_START = regex.compile(r"(?:\A|\n\s*\n|[!?]\s)\s*[„«“\"(]?(\p{L})")
+_START = regex.compile(r"\s*[„«“\"(]?(\p{L})")
+_START_AT = regex.compile(r"\n\s*\n|[!?]\s")
+
+
+def _begins(text: str, at: regex.Pattern, what: regex.Pattern, before: int = 0) -> list[str]:
+    """what at the begin of the text and after each match of at, as one pattern of both would find it, but faster.
+
+    Of a match of at that begins with a stop, the character before belongs to the match if before is 1.
+    """
+    m = what.match(text)
+    out, free = ([m[1]], m.end()) if m else ([], 0)
+    m = at.search(text, free)
+    while m:
+        begin = m.start()
+        found = None if before and text[begin] != "\n" and begin - 1 < free else what.match(text, m.end())
+        if found:
+            out.append(found[1])
+            free = found.end()
+        m = at.search(text, free if found else begin + 1)
+    return out
 
 
 def style(text: str) -> str:
     """std: sentences begin with capitals; chat: they don't; unc: the script has none."""
     upper = lower = other = 0
-    for c in _START.findall(text):
+    for c in _begins(text, _START_AT, _START):
         if c.isupper():
             upper += 1
         elif c.islower():
@@ -212,40 +233,46 @@ def features(p: Place, manner: str, starters: dict[str, int], ties: frozenset[st
 
 
 _CAPITAL = regex.compile(r"(?<=[\p{Ll},]\s)\p{Lu}[\p{L}\p{M}]+")
-_FIRST = regex.compile(r"(?:\A|\n\s*\n|[\p{Ll}][!?]\s)\s*[„«“\"(]?(\p{Lu}[\p{L}\p{M}]*)")
+_FIRST = regex.compile(r"\s*[„«“\"(]?(\p{Lu}[\p{L}\p{M}]*)")
+_FIRST_AT = regex.compile(r"\n\s*\n|(?<=\p{Ll})[!?]\s")
 
 
 def starters_of(texts: list[str]) -> dict[str, int]:
     """1: a word that begins paragraphs, and no capitalised word elsewhere; -1: the other way round; 2: both."""
     first, mid = Counter(), Counter()
     for t in texts:
-        first.update(_FIRST.findall(t))
+        first.update(_begins(t, _FIRST_AT, _FIRST, 1))
         mid.update(_CAPITAL.findall(t))
     return {w: 1 if mid[w] * 4 <= first[w] else -1 if first[w] * 8 <= mid[w] else 2 for w in first.keys() | mid.keys() if first[w] + mid[w] > 1} | {"A.": -1}
 
 
+def _seen(text: str) -> Counter:
+    """What a text tells of its words: (group, word, the word that follows) and how often."""
+    out = Counter(("first", w, "") for w in _begins(text, _FIRST_AT, _FIRST, 1))
+    out.update(("mid", w, "") for w in _CAPITAL.findall(text))
+    if style(text) == "std":
+        for event in places(text):
+            if event[0] == "may" and event[1].kind == "stop" and event[1].mark in ".…":
+                p = event[1]
+                if p.cls == "U":
+                    out["U", p.word, p.follow] += 1
+                elif p.cls == "d" or (p.cls == "l" and not p.opener):
+                    out[p.cls, p.word, ""] += 1
+    return out
+
+
 class Kinds:
     """How often a word before a stop is followed by a word that begins sentences, by a name, by another word, by a digit, and by a small letter."""
 
     def __init__(self, texts: list[str], starters: dict[str, int]):
         self.free, self.name, self.other, self.digit, self.low = Counter(), Counter(), Counter(), Counter(), Counter()
+        groups = {1: self.free, -1: self.name}
         for t in texts:
-            if style(t) != "std":
-                continue
-            for event in places(t):
-                if event[0] == "may" and event[1].kind == "stop" and event[1].mark in ".…":
-                    p = event[1]
-                    x = starters.get(p.follow, 0)
-                    if p.cls == "U" and x == 1:
-                        self.free[p.word] += 1
-                    elif p.cls == "U" and x == -1:
-                        self.name[p.word] += 1
-                    elif p.cls == "U":
-                        self.other[p.word] += 1
-                    elif p.cls == "d":
-                        self.digit[p.word] += 1
-                    elif p.cls == "l" and not p.opener:
-                        self.low[p.word] += 1
+            for (group, word, follow), n in _seen(t).items():
+                if group == "U":
+                    groups.get(starters.get(follow, 0), self.other)[word] += n
+                elif group in "dl":
+                    (self.digit if group == "d" else self.low)[word] += n
 
     def marked(self) -> frozenset[str]:
         """Words that mostly stand before what does not begin a sentence; only these have weights of their own."""
@@ -309,10 +336,13 @@ class Model:
         return sum([get(f, 0.0) for f in features(p, manner, self.starters, self.ties, self.marked)])
 
 
-def train(texts: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit the scores by logistic regression over places whose surroundings tell what they are."""
-    starters = starters_of(texts)
-    kinds = Kinds(texts, starters)
+def train(texts: list[str], starters: dict[str, int] | None = None, kinds: Kinds | None = None, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Fit the scores by logistic regression over places whose surroundings tell what they are.
+
+    starters and kinds, what is known of words, are counted from the texts where they are not given.
+    """
+    starters = starters_of(texts) if starters is None else starters
+    kinds = kinds or Kinds(texts, starters)
     ties, marked = kinds.ties(), kinds.marked()
     examples: list[tuple[tuple[str, ...], int]] = []
     for t in texts:
@@ -406,14 +436,60 @@ def sample(df: DataFrame, key: str, text: str, limit: int = TRAIN, chars: int =
     return [r._t for r in rows.orderBy("_h", "_t").limit(limit).collect()]
 
 
+def statistics(df: DataFrame, texts: list[str], text: str = "text") -> tuple[dict[str, int], Kinds]:
+    """starters_of and Kinds over all rows of df, by aggregation.
+
+    Of the words before stops come out those of texts, the sample, and those that can be marked or
+    tied; the others have no effect.
+    """
+
+    def batch(column):
+        seen = Counter()
+        for t in column.to_pylist():
+            if t and not t.isspace():
+                seen.update(_seen(t))
+        rows = [(*k, n) for k, n in seen.items()]
+        return list(map(list, zip(*rows))) or [[], [], [], []]
+
+    # the counts are small beside the texts; they are kept so that the texts are read once
+    seen = scan(df, [text], "part string, word string, follow string, n long", batch).groupBy("part", "word", "follow").agg(F.sum("n").alias("n")).persist()
+    try:
+        count = lambda *parts: F.sum(F.when(F.col("part").isin(*parts), F.col("n")).otherwise(0))
+        words = seen.where(F.col("part").isin("first", "mid")).groupBy("word").agg(count("first").alias("first"), count("mid").alias("mid")).where("first + mid > 1")
+        kind = F.when(F.col("mid") * 4 <= F.col("first"), 1).when(F.col("first") * 8 <= F.col("mid"), -1).otherwise(2)
+        known = words.select(F.col("word").alias("follow"), kind.alias("x"))
+        starters = {r.follow: r.x for r in known.collect()} | {"A.": -1}
+
+        x = F.when(F.col("follow") == "A.", -1).otherwise(F.coalesce("x", F.lit(0)))
+        group = F.when(F.col("part") != "U", F.col("part")).when(x == 1, "free").when(x == -1, "name").otherwise("other")
+        before = seen.where(F.col("part").isin("U", "d", "l")).join(known, "follow", "left").select("word", "n", group.alias("part"))
+        sums = before.groupBy("word").agg(*(count(c).alias(c) for c in ("free", "name", "other", "d", "l")))
+        own = sorted({w for t in texts for _, w, _ in _seen(t)})
+        sampled = df.sparkSession.createDataFrame([(w,) for w in own], "word string").withColumn("own", F.lit(True))
+        kinds = Kinds([], {})
+        for r in sums.join(F.broadcast(sampled), "word", "left").where("own or name + other + d + l > 2").collect():
+            for counter, n in ((kinds.free, r.free), (kinds.name, r.name), (kinds.other, r.other), (kinds.digit, r.d), (kinds.low, r.l)):
+                if n:
+                    counter[r.word] = n
+        return starters, kinds
+    finally:
+        seen.unpersist()
+
+
+def fitted(df: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """The model of all rows: words counted over all, weights fitted on the sample."""
+    texts = sample(df, key, text)
+    return train(texts, *statistics(df, texts, text))
+
+
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(key, sent_start, sent_end): every unit of every document, by places in characters (code points)."""
     kind = dict(df.dtypes)[key]
-    known = df.sparkSession.sparkContext.broadcast(_plain(model or train(sample(df, key, text))))
+    known = df.sparkSession.sparkContext.broadcast(_plain(model or fitted(df, key, text)))
 
     def batch(keys, texts):
-        fitted = _model(known)
-        rows = [(k, a, b) for k, t in zip(keys.to_pylist(), texts.to_pylist()) for a, b in units(t, fitted)]
+        loaded = _model(known)
+        rows = [(k, a, b) for k, t in zip(keys.to_pylist(), texts.to_pylist()) for a, b in units(t, loaded)]
         return list(map(list, zip(*rows))) or [[], [], []]
 
     return scan(df, [key, text], f"{key} {kind}, sent_start int, sent_end int", batch)
