@@ -30,3 +30,15 @@ def test_words_are_counted_over_all_documents(spark, monkeypatch):
     assert got == starters
     for name in ("free", "name", "other", "digit", "low"):
         assert getattr(known, name) == getattr(kinds, name)
+
+
+def test_brackets_of_any_length():
+    inner = "To jest długie zdanie w nawiasie. " * 30
+    for text in (f"Dom stoi (tak mówią: {inner}Koniec.) daleko. Dalej.", f"他说（{'这是一个很长的句子。' * 60}）然后走了。结束。"):
+        begin, end = brackets = sentences.brackets(text)[0]
+        assert end - begin > 402 and sentences.brackets(text) == [brackets]
+        ends = [e[1].end if e[0] == "may" else e[1] for e in sentences.places(text) if e[0] in ("may", "para")]
+        assert ends and not [e for e in ends if begin < e < end]
+    assert sentences.brackets("(a (b) c) :( (d） e) f) (g\nh)") == [(0, 9), (11, 22), (23, 28)]
+    assert sentences.brackets("(a\n \nb) (c)") == [(8, 11)]
+    assert sentences.brackets("(" * 50_000 + "）" * 50_000) == []

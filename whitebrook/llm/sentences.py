@@ -49,7 +49,7 @@ _EVENT = regex.compile(
     r"|(?P<shut>[”»」』›])"
     rf"|(?P<thai>(?<=[{_THAI}])\s+(?=[{_THAI}0-9])|(?<=[0-9])\s+(?=[{_THAI}]))"
 )
-_BRACKETS = regex.compile(r"\((?:[^()\n]|\n(?!\s*\n)){0,400}\)|（[^（）\n]{0,400}）")
+_BRACKET = regex.compile(r"[()（）]|\n\s*\n")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:[.'’][\p{L}\p{M}\p{N}]+)*")
 _OPENERS = "„«「『“‹\"'(（[¿¡‚‘"
 _FULL = set("。！？।॥؟۔｡")
@@ -101,20 +101,46 @@ def _follow(text: str, at: int) -> tuple[str, bool, str]:
     return cls, opener, word
 
 
+def brackets(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of each outermost pair of brackets, in order; a blank line closes none and ends the search for their ends."""
+    out: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    depth = {")": 0, "）": 0}
+    for m in _BRACKET.finditer(text):
+        c = m[0]
+        if c in "(（":
+            shut = ")" if c == "(" else "）"
+            stack.append((shut, m.start()))
+            depth[shut] += 1
+        elif c in depth:
+            while depth[c]:
+                shut, begin = stack.pop()
+                depth[shut] -= 1
+                if shut == c:
+                    while out and out[-1][0] > begin:
+                        out.pop()
+                    out.append((begin, m.end()))
+                    break
+        else:
+            stack.clear()
+            depth = dict.fromkeys(depth, 0)
+    return out
+
+
 def places(text: str) -> list[tuple]:
     """Events of a text in order: ("para", end, next), ("open" | "shut", end) and ("may", Place)."""
     out: list[tuple] = []
-    blocked, spans = -1, iter(_BRACKETS.finditer(text) if "(" in text or "（" in text else ())
+    spans = iter(brackets(text) if "(" in text or "（" in text else ())
     span = next(spans, None)
     n = len(text)
     for m in _EVENT.finditer(text):
         kind, at = m.lastgroup, m.start()
-        while span is not None and span.end() <= at:
+        while span is not None and span[1] <= at:
             span = next(spans, None)
         if kind == "para":
             out.append(("para", at, m.end()))
             continue
-        inside = span is not None and span.start() < at
+        inside = span is not None and span[0] < at
         if kind == "open":
             # “ closes what „ opens; else it opens
             out.append(("shut" if m[0] == "“" and at and not text[at - 1].isspace() and text[at - 1].isalnum() else "open", m.end()))
@@ -128,7 +154,7 @@ def places(text: str) -> list[tuple]:
         elif m["stop"]:
             close = m["close"]
             if inside:
-                if span.end() > m.end("stop") + len(close):
+                if span[1] > m.end("stop") + len(close):
                     continue  # a stop within brackets
                 if ")" not in close and "）" not in close:
                     continue
