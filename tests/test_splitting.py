@@ -1,0 +1,14 @@
+import hashlib
+
+import __spark_entry__ as entry
+from whitebrook.llm.splitting import cut
+
+
+def test_p2_pieces_keep_every_row_without_sha(spark, tmp_path):
+    first, second, third = (f"{w} ma kota. " * 120 for w in ("Ala", "Ola", "Ela"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:24]
+    rows = [(None, first), (None, second), (None, second), (sha(third), third), (None, third), ("s", first), ("s", second), (None, None), ("n", None), (None, "")]
+    spark.createDataFrame(rows, "sha string, text string").write.parquet(str(tmp_path / "corpus.parquet"))
+    found = sorted(map(tuple, entry.queries()["p2_pieces"](spark, str(tmp_path)).collect()))
+    want = [(k, i, p) for k, t in ((sha(first), first), (sha(second), second), (sha(third), third), ("s", first), ("s", second)) for i, p in enumerate(cut(t))]
+    assert found == sorted(want)

@@ -161,14 +161,19 @@ def _begin(text: str, stop: int, first: int, least: int, most: int) -> int:
 
 
 def pieces(df: DataFrame, key: str = "sha", text: str = "text", limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP, short: bool = False) -> DataFrame:
-    """(doc_sha, chunk_idx, text): the pieces of each distinct row, of long rows only unless short."""
-    rows = df.where(F.length(text) > (0 if short else limit)).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    """(doc_sha, chunk_idx, text): the pieces of each distinct (key, text), of long rows only unless short.
+
+    A null key is replaced by that of the text, the first 24 hex digits of its sha256, so that no
+    row's pieces are lost or mixed with another's. Null texts give no pieces.
+    """
+    own = F.coalesce(F.col(key), F.substring(F.sha2(F.col(text), 256), 1, 24))
+    rows = df.where(F.length(text) > (0 if short else limit)).select(own.alias("_key"), F.col(text).alias("_text"))
 
     def batch(keys, texts):
         out = [(k, i, p) for k, t in zip(keys.to_pylist(), texts.to_pylist()) for i, p in enumerate(cut(t, limit, overlap))]
         return list(map(list, zip(*out))) or [[], [], []]
 
-    return scan(rows.dropDuplicates(["_key"]), ["_key", "_text"], "doc_sha string, chunk_idx int, text string", batch)
+    return scan(rows.dropDuplicates(["_key", "_text"]), ["_key", "_text"], "doc_sha string, chunk_idx int, text string", batch)
 
 
 # --- audit -------------------------------------------------------------------------------------
