@@ -1,39 +1,47 @@
 """Near-duplicate documents by adaptive multi-match prefixes.
 
-A document is the set of its runs of three (or more) consecutive words. Two sets of n and m runs
-whose similarity is at least t share at least ceil(t * n) runs, so with one order over all runs
-the first n - ceil(t * n) + k runs of either must have k runs in common. Each document chooses its
-own k: a longer prefix costs postings, but asks for more shared runs and so leaves fewer pairs to
-verify. A pair must share min(k, k') runs of the two prefixes; what does is verified exactly.
-
-The order is rarest first by a fixed-size count sketch over all documents (its size is bounded by
-SKETCH_MAX, whatever the input); its errors cost time only, never a pair. Equal texts are one
-class with one representative; links hold between representatives, and membership gives the rest.
-Postings are joined on their run by sort-merge, which spills and which adaptive execution splits
-where one run is hot.
-
-Texts of fewer words than a run have no runs and are like equal texts only; null texts are in no
-class. Similarity of equal texts is 1.
+A document is the set of its runs of consecutive words. Two sets of n and m runs whose similarity
+is at least t share at least ceil(t * n) runs, so with one order over all runs the first
+n - ceil(t * n) + k runs of either must have k runs in common. Each document chooses its own k: a
+longer prefix costs postings, but asks for more shared runs and so leaves fewer pairs to verify.
+A pair must share min(k, k') runs of the two prefixes; what does is verified exactly.
+
+The order is rarest first by the number of documents that hold a run. Documents stand in lots (by
+a hash of their key, LOT documents or LOT_CHARS characters each). A lot sends its distinct runs and
+their counts as sorted, packed blocks to buckets; a bucket of about BUCKET runs adds them up and
+sends each block's counts back to its lot. So the counts are exact whatever the size (runs are cut
+to so many bits that a false match is rare; it can only make a run look more frequent), nothing is
+broadcast, and a run that every document holds adds one entry for each lot. A run that one document
+holds needs no posting, and a document with more of them than its prefix has none at all.
+
+Equal texts are one class with one representative; links hold between representatives, and
+membership gives the rest. Postings are joined on their run by sort-merge, which spills and which
+adaptive execution splits where one run is hot.
+
+Texts of fewer words than a run have no runs and are like equal texts only; rows of null text or
+null key are in no class. Similarity of equal texts is 1. Keys may be of any type that has an order.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .scan import ensure_checkpoint_dir, scan
 
-SKETCH_MAX = 1 << 25
-SKETCH_MIN = 1 << 20
-BLOCKS = 64
+LOT = 2_048
+LOT_CHARS = 8_000_000
+BUCKET = 1_000_000
 VERIFY_COST = 20.0
 STEPS = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 
@@ -76,64 +84,38 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return values.tobytes()
+def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted values as differences, and their counts, in planes of bytes."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    planes = [steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), counts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def counted(df: DataFrame, columns: list[str], slots: Callable, width: int) -> np.ndarray:
-    """Saturating 16-bit counts of the slots (below width) that slots(*arrays) yields for all rows.
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(10, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view("<u2").ravel()
 
-    Each task adds up its own, and compressed blocks are summed in two levels, so no group holds
-    more than 256 blocks of width / BLOCKS counters. The result has a fixed size.
-    """
-    size = width // BLOCKS
-
-    def own(batches):
-        sums = np.zeros(width, np.uint32)
-        for batch in batches:
-            for found in slots(*batch.columns):
-                np.add.at(sums, found, np.uint32(1))
-        packed = zstandard.ZstdCompressor(level=1)
-        small = np.minimum(sums, 65535).astype(np.uint16)
-        seed = int(small.sum()) & 255
-        for i in range(BLOCKS):
-            part = small[i * size : (i + 1) * size]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seed], pa.int32()), pa.array([packed.compress(part.tobytes())], pa.binary())], names=["block", "lot", "counts"])
-
-    def total(table: pa.Table) -> pa.Table:
-        open_ = zstandard.ZstdDecompressor()
-        sums = np.zeros(size, np.uint32)
-        for x in table["counts"].to_pylist():
-            sums += np.frombuffer(open_.decompress(x), np.uint16)
-        small = np.minimum(sums, 65535).astype(np.uint16)
-        return pa.table({"block": table["block"][:1].cast(pa.int32()), "lot": pa.array([0], pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(small.tobytes())], pa.binary())})
 
-    schema = "block int, lot int, counts binary"
-    parts = df.select(*columns).mapInArrow(own, schema)
-    sums = parts.groupBy("block", "lot").applyInArrow(total, schema).groupBy("block").applyInArrow(total, schema)
-    out = np.zeros(width, np.uint16)
-    open_ = zstandard.ZstdDecompressor()
-    for row in sums.select("block", "counts").collect():  # BLOCKS rows of a fixed size
-        out[row.block * size : (row.block + 1) * size] = np.frombuffer(open_.decompress(row.counts), np.uint16)
-    return out
+def level_of(totals: np.ndarray) -> np.ndarray:
+    """0 for a run of one document, else its count on a scale of eight steps to a power of two."""
+    return np.where(totals < 2, 0, np.minimum(np.log2(np.maximum(totals, 2)) * 8, 255)).astype(np.uint8)
 
 
-def _slot(hashes: np.ndarray, width: int) -> np.ndarray:
-    return (hashes & np.uint64(width - 1)).astype(np.int64)
+def others_of(levels: np.ndarray) -> np.ndarray:
+    """About how many other documents hold runs of these levels."""
+    return np.where(levels == 0, 0.0, np.exp2(levels / 8.0) - 1)
 
 
-def prefix(runs: np.ndarray, counts: np.ndarray, load: float, t_num: int, t_den: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set in the common order, and how many shared runs it asks for."""
+def prefix(runs: np.ndarray, levels: np.ndarray, t_num: int, t_den: int) -> tuple[np.ndarray, int]:
+    """The runs to post of a set's prefix in the common order, and how many shared runs it asks for."""
     n = len(runs)
-    seen = counts[_slot(runs, len(counts))].astype(np.float64)
-    others = np.maximum(seen - 1 - load, 0.0)
-    # rarest first, by powers of two; within a power the order is that of the hashes
-    level = np.floor(np.log2(others + 1)).astype(np.int8)
-    order = np.lexsort((runs, level))
     needed = -(-t_num * n // t_den)
     base = n - needed
-    paid, cost, best, k_best = np.cumsum(others[order]), 0.0, math.inf, 1
+    alone = int(np.count_nonzero(levels == 0))
+    if alone > base:  # what is left could not be enough for any partner
+        return runs[:0], 1
+    order = np.lexsort((runs, levels))
+    paid, best, k_best = np.cumsum(others_of(levels[order])), math.inf, 1
     for k in STEPS:
         if k > max(1, needed // 3):
             break
@@ -141,13 +123,55 @@ def prefix(runs: np.ndarray, counts: np.ndarray, load: float, t_num: int, t_den:
         cost = base + k + spent + VERIFY_COST * spent / k
         if cost < best:
             best, k_best = cost, k
-    return runs[order[: base + k_best]], k_best
+    return runs[order[alone : base + k_best]], k_best
+
+
+class _Lots:
+    """How documents are laid out: lots, buckets and the bits of a run that are counted."""
+
+    def __init__(self, n_rows: int, n_chars: int):
+        self.lots = max(1, -(-n_rows // LOT), -(-n_chars // LOT_CHARS))
+        runs = max(2, n_chars // 6)  # about one for each word
+        self.bucket_bits = max(0, math.ceil(math.log2(runs / BUCKET)))
+        self.bits = min(64, max(24, math.ceil(math.log2(runs)) + 8))
+        self.shift = np.uint64(64 - self.bits)
+
+    def of(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.lots)).alias("lot")
+
+    def counted(self, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct runs of a lot as they are counted, the place of each run among them, and their counts."""
+        return np.unique(every >> self.shift, return_inverse=True, return_counts=True)
+
+    def cuts(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of sorted values and where each begins; the last entry is the end."""
+        at = (values >> np.uint64(self.bits - self.bucket_bits)).astype(np.int64) if self.bucket_bits else np.zeros(len(values), np.int64)
+        buckets, starts = np.unique(at, return_index=True)
+        return buckets, np.append(starts, len(values))
+
+
+def _table(schema: pa.Schema, columns: list) -> pa.Table:
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
+def _chosen(table: pa.Table, keys: pa.ChunkedArray) -> tuple[pa.Array, list[str]]:
+    """Keys and texts of the rows with one of keys, in the order of the keys; repeated rows count once."""
+    hit = table.filter(pc.is_in(table["_key"], value_set=keys.combine_chunks())).sort_by([("_key", "ascending"), ("_text", "ascending")])
+    found = hit["_key"].combine_chunks()
+    new = np.ones(len(found), bool)
+    if len(found) > 1:
+        new[1:] = pc.not_equal(found[1:], found[:-1]).to_numpy(zero_copy_only=False)
+    return found.filter(pa.array(new)), hit["_text"].combine_chunks().filter(pa.array(new)).to_pylist()
 
 
 def classes(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(key, class_id): class_id is the least key among the rows of equal text. Null texts are left out."""
+    """(key, class_id): class_id is the least key among the rows of equal text. Null texts are left out; repeated rows count once."""
     kind = dict(df.dtypes)[key]
-    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.sha2(text, 256).alias("_digest"))
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.sha2(text, 256).alias("_digest")).distinct()
     least = rows.groupBy("_digest").agg(F.min("_key").alias("class_id"))
     return rows.join(least, "_digest").select(F.col("_key").cast(kind).alias(key), "class_id")
 
@@ -157,79 +181,87 @@ def class_pairs(df: DataFrame, key: str = "row_id", text: str = "text", threshol
 
     threshold is a fraction (numerator, denominator) so that comparisons are exact; class_a < class_b.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     t_num, t_den = threshold
-    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    n_rows = rows.count()
-    width = min(SKETCH_MAX, max(SKETCH_MIN, 1 << math.ceil(math.log2(max(1, n_rows) * 128))))
-
-    def slots(texts):
-        for t in texts.to_pylist():
-            yield _slot(runs_of(t, words), width)
-
-    counts = counted(rows, [text], slots, width)
-    load = float(counts.sum(dtype=np.int64)) / width
-    sketch = spark.sparkContext.broadcast(counts)
-
-    def prefixes(keys, texts):
-        ks, ns, packed = [], [], []
-        for t in texts.to_pylist():
-            runs = runs_of(t, words)
-            chosen, k = prefix(runs, sketch.value, load, t_num, t_den) if len(runs) else (runs, 0)
-            ks.append(k)
-            ns.append(len(runs))
-            packed.append(_pack(chosen))
-        return [keys, ns, ks, packed]
-
-    # digest and prefix of each row, then one row of each text
-    one = rows.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    digests = one.select("_key", F.sha2("_text", 256).alias("_digest")).groupBy("_digest").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_copies"))
-    made = scan(one, ["_key", "_text"], "_key long, n int, k int, packed binary", prefixes).where("n > 0")
-    firsts = made.join(digests.select("_key"), "_key", "left_semi")
-
-    def postings(keys, ns, ks, packed):
-        runs = [np.frombuffer(x, np.int64) for x in packed.to_pylist()]
-        sizes = [len(x) for x in runs]
-        keys = keys.to_numpy(zero_copy_only=False)
-        meta = ns.to_numpy(zero_copy_only=False).astype(np.int64) * 256 + ks.to_numpy(zero_copy_only=False)
-        return [np.concatenate(runs), np.repeat(keys, sizes), np.repeat(meta, sizes)]
-
-    posted = scan(firsts, ["_key", "n", "k", "packed"], "run long, doc long, meta long", postings)
+    kind = dict(df.dtypes)[key]
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    n_rows, n_chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    lots = _Lots(n_rows, n_chars)
+    by_lot = rows.select("_key", "_text", lots.of("_key")).groupBy("lot")  # one exchange of the texts serves three uses
+    firsts = rows.groupBy(F.sha2("_text", 256)).agg(F.min("_key").alias("_key")).select("_key", lots.of("_key"))
+
+    blocks_of, postings_of, sets_as = "bucket long, lot long, packed binary", f"run long, doc {kind}, meta long", f"doc {kind}, runs binary"
+    block, posting, full = _arrow(blocks_of), _arrow(postings_of), _arrow(sets_as)
+
+    def send(lot: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        _, texts = _chosen(left, right["_key"])
+        values, _, counts = lots.counted(np.concatenate([np.empty(0, np.uint64), *(runs_of(t, words) for t in texts)]))
+        buckets, starts = lots.cuts(values)
+        counts = np.minimum(counts, 65535)
+        packed = [_pack(values[i:j], counts[i:j]) for i, j in zip(starts, starts[1:])]
+        return _table(block, [buckets, np.full(len(buckets), lot[0].as_py()), packed])
+
+    def count(table: pa.Table) -> pa.Table:
+        blocks = [_unpack(x) for x in table["packed"].to_pylist()]
+        _, place = np.unique(np.concatenate([v for v, _ in blocks]), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([c for _, c in blocks]))
+        levels = np.split(level_of(totals)[place], np.cumsum([len(v) for v, _ in blocks])[:-1])
+        small = zstandard.ZstdCompressor(level=1)
+        return _table(block, [table["bucket"].combine_chunks(), table["lot"].combine_chunks(), [small.compress(x.tobytes()) for x in levels]])
+
+    def post(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = _chosen(left, right["_key"].drop_null())
+        sets = [runs_of(t, words) for t in texts]
+        every = np.concatenate([np.empty(0, np.uint64), *sets])
+        values, place, _ = lots.counted(every)
+        replies = right.filter(pc.is_valid(right["packed"])).sort_by("bucket")["packed"].to_pylist()
+        open_ = zstandard.ZstdDecompressor()
+        levels = np.frombuffer(b"".join(map(open_.decompress, replies)), np.uint8)
+        if len(levels) != len(values):
+            raise RuntimeError("the counts of a lot do not fit its runs")
+        levels = levels[place]
+        out, at, sizes, metas = [np.empty(0, np.uint64)], 0, [], []
+        for runs in sets:
+            chosen, k = prefix(runs, levels[at : at + len(runs)], t_num, t_den) if len(runs) else (runs, 1)
+            at += len(runs)
+            out.append(chosen)
+            sizes.append(len(chosen))
+            metas.append(len(runs) * 256 + k)
+        return _table(posting, [np.concatenate(out).view(np.int64), keys.take(pa.array(np.repeat(np.arange(len(sets)), sizes))), np.repeat(np.array(metas, np.int64), sizes)])
+
+    blocks = by_lot.cogroup(firsts.groupBy("lot")).applyInArrow(send, blocks_of)
+    answers = blocks.groupBy("bucket").applyInArrow(count, blocks_of)
+    known = firsts.select("lot", "_key", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("packed"))
+    known = known.unionByName(answers.select("lot", F.lit(None).cast(kind).alias("_key"), "bucket", "packed"))
+    posted = by_lot.cogroup(known.groupBy("lot")).applyInArrow(post, postings_of)
+
     a, b = posted.select("run", F.col("doc").alias("a"), F.col("meta").alias("ma")), posted.select("run", F.col("doc").alias("b"), F.col("meta").alias("mb"))
     na, nb = F.shiftright("ma", 8), F.shiftright("mb", 8)
     fits = (F.col("a") < F.col("b")) & (F.least(na, nb) * t_den >= F.greatest(na, nb) * t_num)
     need = F.least(F.col("ma").bitwiseAND(255), F.col("mb").bitwiseAND(255))
     met = a.join(b, "run").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(need).alias("need"))
-    candidates = met.where("shared >= need").select("a", "b").checkpoint()
+    candidates = met.where("shared >= need").select("a", "b")
 
-    # only documents that may be in a pair are read again: a fixed-size filter over their keys
-    mix = lambda keys: (keys.astype(np.uint64) * _P1) >> np.uint64(20)
-    sides = candidates.select(F.explode(F.array("a", "b")).alias("doc"))
-    wanted = counted(sides, ["doc"], lambda keys: [_slot(mix(keys.to_numpy(zero_copy_only=False)), width)], width) > 0
-    known = spark.sparkContext.broadcast(np.packbits(wanted))
+    # only the sets of documents that may be in a pair are made and sent
+    sides = candidates.select(F.explode(F.array("a", "b")).alias("_key")).distinct().select("_key", lots.of("_key"))
 
-    def sets(keys, texts):
-        numbers = keys.to_numpy(zero_copy_only=False)
-        at = _slot(mix(numbers), width)
-        hit = np.flatnonzero((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-        return [numbers[hit], [_pack(runs_of(texts[int(i)].as_py(), words)) for i in hit]]
+    def sets_of(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = _chosen(left, right["_key"])
+        return _table(full, [keys, [runs_of(t, words).tobytes() for t in texts]])
 
-    full = scan(one, ["_key", "_text"], "doc long, runs binary", sets)
-    pairs = candidates.join(full.select(F.col("doc").alias("a"), F.col("runs").alias("ra")), "a").join(full.select(F.col("doc").alias("b"), F.col("runs").alias("rb")), "b")
+    sets = by_lot.cogroup(sides.groupBy("lot")).applyInArrow(sets_of, sets_as)
+    pairs = candidates.join(sets.select(F.col("doc").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("doc").alias("b"), F.col("runs").alias("rb")), "b")
 
     def verify(left, right, ra, rb):
-        out = [[], [], []]
-        for x, y, p, q in zip(left.to_pylist(), right.to_pylist(), ra.to_pylist(), rb.to_pylist()):
+        hits, found = [], []
+        for i, (p, q) in enumerate(zip(ra.to_pylist(), rb.to_pylist())):
             both, either = similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
             if both * t_den >= either * t_num:
-                for column, v in zip(out, (x, y, both / either)):
-                    column.append(v)
-        return out
+                hits.append(i)
+                found.append(both / either)
+        at = pa.array(hits, pa.int64())
+        return [left.take(at), right.take(at), found]
 
-    kind = dict(df.dtypes)[key]
-    found = scan(pairs, ["a", "b", "ra", "rb"], "class_a long, class_b long, similarity double", verify)
-    return found.select(F.col("class_a").cast(kind).alias("class_a"), F.col("class_b").cast(kind).alias("class_b"), "similarity")
+    return scan(pairs, ["a", "b", "ra", "rb"], f"class_a {kind}, class_b {kind}, similarity double", verify)
 
 
 def row_pairs(df: DataFrame, key: str = "row_id", text: str = "text", threshold: tuple[int, int] = (4, 5), words: int = 5) -> DataFrame:

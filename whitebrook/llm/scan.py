@@ -57,8 +57,10 @@ def tokenizer_dir() -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where neither the cluster nor the caller named one."""
+    """Use the shared folder that spark.checkpoint.dir names, where no checkpoint folder is set yet; without either, raise."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/whitebrook-checkpoints")
+        if not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named)
