@@ -3,32 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from whitebrook.functions import vectors as vx
+
 from .moments import Moments, covariance, matrix, moments, renorm
 
 EPS = 1e-6
+#: Eigenvalues under this count as null directions.
 RANK = 1e-6
+TOP = 5
 
 
 @dataclass(frozen=True)
 class Background:
+    """A fitted transform. W is unique and symmetric; it belongs to one dimension and is never cut to another."""
+
     w: np.ndarray
     mu: np.ndarray
     eigvals: np.ndarray
     n: int
+    name: str = ""
+    meta: dict = field(default_factory=dict)
+
+    @property
+    def dim(self) -> int:
+        return len(self.mu)
 
     def apply(self, x: np.ndarray) -> np.ndarray:
         """Whitened rows of vectors that are cut and scaled already."""
         return (x - self.mu) @ self.w
 
     def whiten(self, x: np.ndarray) -> np.ndarray:
-        return self.apply(renorm(x, len(self.mu)))
+        return self.apply(renorm(x, self.dim))
 
 
 def assemble(m: Moments, eps: float = EPS) -> Background:
@@ -39,27 +51,38 @@ def assemble(m: Moments, eps: float = EPS) -> Background:
     return Background((w + w.T) / np.float32(2), m[1].astype(np.float32), values[::-1].astype(np.float32), m[0])
 
 
-def fit(df: DataFrame, dim: int | None = None, eps: float = EPS, vector: str = "embedding") -> Background:
-    return assemble(moments(df, (dim,), vector)[0], eps)
+def fit(df: DataFrame, dim: int | None = None, eps: float = EPS, vector: str = "embedding", exclude_zero: bool = False) -> Background:
+    return fit_ladder(df, (dim,), eps, vector, exclude_zero)[0]
+
 
+def fit_ladder(df: DataFrame, dims: tuple[int | None, ...], eps: float = EPS, vector: str = "embedding", exclude_zero: bool = False) -> list[Background]:
+    """A fit of its own for each dimension, all from one scan."""
+    return [assemble(m, eps) for m in moments(df, dims, vector, exclude_zero)]
 
-def diagnostics(bg: Background) -> dict[str, float | int]:
+
+def diagnostics(bg: Background, eps: float = EPS, native: int | None = None, seconds: float | None = None) -> dict:
     e = bg.eigvals.astype(np.float64)
     low = int((bg.eigvals < RANK).sum())
+    native = native or len(e)
     return {
         "n_total": bg.n,
+        "eps": eps,
         "dim": len(e),
+        "native_dim": native,
+        "mrl_truncated": len(e) < native,
         "rank_deficient_eigvals": low,
         "rank_full_eigvals": len(e) - low,
         "top_ev_ratio_pre": float(e.max() / max(e.mean(), 1e-12)),
         "eigvals_min": float(e.min()),
         "eigvals_median": float(np.median(e)),
         "eigvals_max": float(e.max()),
+        "eigvals_top5": [float(x) for x in np.sort(e)[::-1][:TOP]],
+        "fit_s": seconds,
     }
 
 
 def whiten(df: DataFrame, bg: Background, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, z): each vector whitened; rows of null vectors are left out."""
+    """(key, z): each vector whitened; rows of null vectors are left out. W is broadcast: 4 * d * d bytes."""
     known = df.sparkSession.sparkContext.broadcast(bg)
     kind = dict(df.dtypes)[key]
 
@@ -71,3 +94,11 @@ def whiten(df: DataFrame, bg: Background, key: str = "vec_id", vector: str = "em
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(z.ravel()))], names=[key, "z"])
 
     return df.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{key} {kind}, z array<float>")
+
+
+def whiten_columns(df: DataFrame, bg: Background, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The same in column functions alone; for small dimensions, to check the other by."""
+    w = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in bg.w])
+    mu = F.array(*[F.lit(float(x)) for x in bg.mu])
+    centred = vx.center(vx.renorm(vx.prefix(vector, bg.dim)), mu)
+    return df.where(F.col(vector).isNotNull()).select(key, centred.alias("_x")).select(key, F.transform(w, lambda row: vx.dot("_x", row).cast("float")).alias("z"))
