@@ -6,6 +6,9 @@ open line at either edge with its counts, its first and its last characters, so
 a chunk's edge is judged as a whole after the merge. A word belongs to the chunk where it begins.
 States merge in a tree of FAN children a node; ratios and the rule come last.
 
+Neighbouring short lines of one shape (the same kinds of characters in the same order, figures and
+signs among them) without a stop are rows of a table, whatever stands in their columns.
+
 Null, empty and blank texts: counts 0, ratios 0.0, not prose and not a case (share of junk 0.0).
 A text that holds a run of more than OVERHANG characters without whitespace is counted whole, as
 a chunk's edge inside such a run could count its words twice or cut them.
@@ -30,7 +33,10 @@ OVERHANG = 4_096
 FAN = 32
 EDGE = 64
 MIN_JUNK = 0.60
+#: Characters of a line that may be a row of a table without delimiters, and signs and numbers that it must hold.
+ROW_CHARS, ROW_MARKS = 200, 3
 
+#: EDGE characters of a line's begin and end are kept, with whitespace folded; marks and ends are shorter.
 #: What a line may begin or end with, and what marks damage (fixed values).
 _LOG = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
 _MARK = re.compile(r"\s*(?:[-*•–—☐☑☒✓✔▪◦·‣]|\d{1,4}[.)]|[a-zA-Z][.)])\s+")
@@ -39,9 +45,11 @@ _URL = re.compile(r"(?:https?://|www\.)\S+")
 _DELIMITERS = ",;|/•·"
 _CONSONANTS = "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"
 _VOWELS = "aeiouyąęóáéíúůýěäöüàâèêëîïôûåæøœAEIOUYĄĘÓÁÉÍÚÝÄÖÜÀÂÈÊËÎÏÔÛÅÆØŒ"
-_MISREAD = "\ufffdÄĂĹÅÃâ" + "".join(map(chr, range(0x80, 0xA0)))
+#: The code pages that UTF-8 is most often misread by.
+_MISREAD_BY = ("cp1252", "cp1250", "latin-1", "iso8859-2")
 LONG = 28
-_GARBLED = re.compile(r"[\ufffd\x80-\x9f]|[ÄĂĹÅÃâ][^a-zA-Z0-9\s.,;:?!)\"”]")
+_DAMAGED = re.compile(r"[\ufffd\x80-\x9f]")
+_BEYOND = re.compile(r"[^\x00-\x7f]{2,}")
 _SIGNS = re.compile(r"[^\w\s]{3,}")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -60,24 +68,94 @@ def _classes() -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def _misread() -> np.ndarray:
-    found = np.zeros(0x110000, bool)
-    found[[ord(c) for c in _MISREAD]] = True
-    return found
+def _misread() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points that are damage, that misread the first byte of a UTF-8 sequence, and that misread a later one."""
+    damage, first, later = (np.zeros(0x110000, bool) for _ in range(3))
+    damage[[0xFFFD, *range(0x80, 0xA0)]] = True
+    for page in _MISREAD_BY:
+        for byte in range(0x80, 0xF5):
+            at = ord(bytes([byte]).decode(page, "replace"))
+            (later if byte < 0xC0 else first)[at] |= byte < 0xC0 or byte >= 0xC2
+    return damage, first, later
+
+
+def _usual(c: str) -> bool:
+    """Whether misread text usually was this: Latin with accents, basic Cyrillic, quotation marks, dashes and the like."""
+    return "\xa0" <= c <= "\u017f" or "\u0400" <= c <= "\u045f" or "\u2010" <= c <= "\u2044" or c in "€™"
+
+
+def _garbled(word: str) -> bool:
+    """Whether a word holds damage, or characters that are the bytes of others."""
+    if _DAMAGED.search(word):
+        return True
+    runs = _BEYOND.findall(word)
+    for page in _MISREAD_BY if runs else ():
+        for run in runs:
+            data = run.encode(page, "replace")
+            for i in range(len(data) - 1):
+                size = 2 if 0xC2 <= data[i] < 0xE0 else 3 if 0xE0 <= data[i] < 0xF0 else 4 if 0xF0 <= data[i] < 0xF5 else 0
+                part = data[i : i + size]
+                if size and len(part) == size and all(0x80 <= x < 0xC0 for x in part[1:]) and _usual(part.decode("utf-8", "replace")):
+                    return True
+    return False
 
 
 def _damage(line: str) -> int:
     """Characters of the words that hold mis-decoded or meaningless characters."""
     total = 0
     for word in line.split():
-        if _GARBLED.search(word):
+        if not word.isascii() and _garbled(word):
             total += len(word)
         elif not _URL.match(word):
             total += sum(len(x) for x in _SIGNS.findall(word) if len(set(x)) > 2 and not set(x) <= set("?!.…,\"”’»)(]-–"))
     return total
 
 
-# A line's counts: length, letters, digits, whitespace, damaged, long runs, consonants, vowels, words, delimiters, links, tabs, bars, head, tail.
+_GAP = re.compile(r"(\s)\s+")
+
+
+def _head(line: str) -> str:
+    """The first EDGE characters, each run of whitespace as its first one, so that no indentation hides what follows."""
+    head = line[:EDGE]
+    return _GAP.sub(r"\1", line)[:EDGE] if _GAP.search(head) else head
+
+
+def _tail(line: str) -> str:
+    tail = line[-EDGE:]
+    return _GAP.sub(r"\1", line)[-EDGE:] if _GAP.search(tail) else tail
+
+
+def shape_of(line: str) -> str:
+    """A line as its kinds of characters, each run once: a letters, 9 digits, a space whitespace, signs as they are; "*" if it is long."""
+    if len(line) > ROW_CHARS:
+        return "*"
+    return _RUNS.sub(r"\1", line.translate(_KINDS))
+
+
+class _Kinds(dict):
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        kind = self[point] = "a" if c.isalpha() else "9" if c.isalnum() else " " if c.isspace() else c
+        return kind
+
+
+_KINDS = _Kinds()
+_RUNS = re.compile(r"([a9 ])\1+")
+
+
+def _join_shapes(a: str, b: str) -> str:
+    return "*" if "*" in (a, b) or len(a) + len(b) > ROW_CHARS else _RUNS.sub(r"\1", a + b)
+
+
+def _row_shape(shape: str) -> str:
+    """The shape by which a line equals its neighbours if both are rows of one table, or "" if it can be none."""
+    if "9" not in shape or "*" in shape:
+        return ""
+    short = re.sub(r"a(?: a)+", "a", shape.strip())
+    return short if sum(c not in "a " for c in short) >= ROW_MARKS else ""
+
+
+# A line's counts: length, letters, digits, whitespace, damaged, long runs, consonants, vowels, words, delimiters, links, tabs, bars, head, tail, shape.
 def _lines(text: str) -> tuple[list[list], int, int, int, int]:
     """The counts of each line, and of the whole: words, characters in words, signs, whitespace."""
     points = code_points(text)
@@ -103,7 +181,9 @@ def _lines(text: str) -> tuple[list[list], int, int, int, int]:
         np.add.at(long, np.searchsorted(starts, gaps[big] - 1, side="right") - 1, sizes[big])
     rows = text.split("\n")
     sign = (padded == _SIGN) | (padded == _DELIMITER) | (padded == _BAR)
-    odd = _misread()[points]
+    damage, first, later = _misread()
+    odd = damage[points]
+    odd[: n - 1] |= first[points[: n - 1]] & later[points[1:]]
     odd[: n - 2] |= sign[: n - 2] & sign[1 : n - 1] & sign[2:n]
     if odd.any():
         for i in np.unique(np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1):
@@ -113,18 +193,18 @@ def _lines(text: str) -> tuple[list[list], int, int, int, int]:
             if "://" in row or "www." in row:
                 links[i] = sum(map(len, _URL.findall(row)))
     columns = (lengths, inside - digits, digits, spaces, damaged, long, consonants, vowels, words, delimiters, links, tabs, bars)
-    lines = [[*counts, row[:EDGE], row[-EDGE:]] for counts, row in zip(zip(*(c.tolist() for c in columns)), rows)]
+    lines = [[*counts, _head(row), _tail(row), shape_of(row)] for counts, row in zip(zip(*(c.tolist() for c in columns)), rows)]
     white = int(spaces.sum()) + len(rows) - 1
     return lines, int(words.sum()), int(inside.sum()), n - white - int(inside.sum()), white
 
 
 def _join(a: list, b: list) -> list:
-    return [x + y for x, y in zip(a[:13], b[:13])] + [(a[13] + b[13])[:EDGE], (a[14] + b[14])[-EDGE:]]
+    return [x + y for x, y in zip(a[:13], b[:13])] + [_head(a[13] + b[13]), _tail(a[14] + b[14]), _join_shapes(a[15], b[15])]
 
 
 def junk_of(line: list) -> int:
     """How many characters of a line, its break included, are not running sentences."""
-    n, letters, digits, spaces, damaged, long, consonants, vowels, words, delimiters, links, tabs, bars, head, tail = line
+    n, letters, digits, spaces, damaged, long, consonants, vowels, words, delimiters, links, tabs, bars, head, tail, _ = line
     solid = n - spaces
     if solid <= 0:
         return 0
@@ -141,18 +221,38 @@ def junk_of(line: list) -> int:
     return damaged
 
 
-# A state: characters, words, letters and digits in words, signs, solid characters, common words, junk, lines, lines ending in punctuation, first open line, last open line.
-def _close(state: list, line: list) -> None:
+# A state: characters, words, letters and digits in words, signs, solid characters, common words, junk, lines, lines ending in punctuation, first open line, last open line, edges.
+# The edges are the first and the last closed line that is not blank, each as its row shape and the characters that become junk if a neighbour has the same shape.
+def _edge(line: list) -> list:
+    shape, junk = _row_shape(line[15]) if line[0] <= ROW_CHARS else "", junk_of(line)
+    return [shape, line[0] + 1 - junk if shape and not _END.search(line[14]) else 0]
+
+
+def _link(state: list, a: list, b: list) -> list:
+    """The edges of the closed lines of a and then of b; rows of one table that meet here become junk."""
+    if not a or not b:
+        return a or b
+    p, q = list(a[-1]), list(b[0])
+    if p[0] and p[0] == q[0]:
+        state[6] += p[1] + q[1]
+        p[1] = q[1] = 0
+    return [p if len(a) == 1 else a[0], q if len(b) == 1 else b[-1]]
+
+
+def _close(state: list, line: list, before: bool = False) -> None:
+    """Close a line after those that are closed, or before them."""
     if line[0] > line[3]:
         state[6] += junk_of(line)
         state[7] += 1
         state[8] += bool(_END.search(line[14]))
+        own = [_edge(line)]
+        state[11] = _link(state, own, state[11]) if before else _link(state, state[11], own)
 
 
 def _state(text: str, common: frozenset[str]) -> list:
     lines, words, inside, signs, white = _lines(text)
     known = sum(map(common.__contains__, _WORD.findall(text.lower()))) if common else 0
-    state = [len(text), words, inside, signs, len(text) - white, known, 0, 0, 0, lines[0], None]
+    state = [len(text), words, inside, signs, len(text) - white, known, 0, 0, 0, lines[0], None, []]
     if len(lines) > 1:
         for line in lines[1:-1]:
             _close(state, line)
@@ -162,17 +262,16 @@ def _state(text: str, common: frozenset[str]) -> list:
 
 def merge(a: list, b: list) -> list:
     """The state of two neighbouring chunks; associative, in reading order."""
-    out = [x + y for x, y in zip(a[:9], b[:9])] + [a[9], a[10]]
+    out = [x + y for x, y in zip(a[:9], b[:9])] + [a[9], a[10], a[11]]
     middle = _join(a[9] if a[10] is None else a[10], b[9])
-    if a[10] is None and b[10] is None:
-        out[9] = middle
-    elif a[10] is None:
+    if a[10] is None:
         out[9], out[10] = middle, b[10]
     elif b[10] is None:
         out[10] = middle
     else:
         _close(out, middle)
         out[10] = b[10]
+    out[11] = _link(out, out[11], b[11])
     return out
 
 
@@ -183,9 +282,9 @@ def finish(state: list | None) -> tuple:
     if state is None:
         return (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
     state = list(state)
-    for line in (state[9], state[10]):
-        if line is not None:
-            _close(state, line)
+    if state[10] is not None:
+        _close(state, state[10])
+    _close(state, state[9], before=True)
     n, words, inside, signs, solid, common, junk, lines, stopped = state[:9]
     share = min(1.0, junk / n) if n else 0.0
     return (n, words, inside / words if words else 0.0, signs / solid if solid else 0.0, stopped / lines if lines else 0.0, common / words if words else 0.0, share, solid > 0 and share < MIN_JUNK)
