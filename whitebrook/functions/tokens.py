@@ -34,6 +34,7 @@ def load(name: str):
     """The tokenizer of a name, or of the path of a file."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if not os.path.isfile(name):
         import public_tokenizers
 
