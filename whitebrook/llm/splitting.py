@@ -186,24 +186,30 @@ def places_of(piece: str, text: str) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
-def wrong(piece: str, index: int, earlier: list[str], text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> str:
-    """The first of the rules a to f that a piece breaks, else "". earlier: the pieces with the index before."""
+def wrong(piece: str, index: int, earlier: list[str], text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP, near: int = 0) -> tuple[str, int]:
+    """The first of the rules a to f that a piece breaks, else "", and where the piece stands in its row, or near.
+
+    earlier are the pieces with the index before. The row is searched from near on first, so pieces
+    in order cost no more than their row is long; all places are looked at only where one breaks a rule.
+    """
     least, most = overlap
     if len(piece) > limit:
-        return "a"
-    if not piece or piece not in text:
-        return "b"
+        return "a", near
+    at = text.find(piece, near) if piece else -1
+    if at < 0:
+        at = text.find(piece) if piece else -1
+    if at < 0:
+        return "b", near
     if index > 0:
         if not earlier:
-            return "c"
-        fits = [p for p in earlier if any(p.endswith(piece[:n]) for n in range(least, most + 1) if n <= len(piece) and n <= len(p))]
-        if not fits:
-            return "d"
-    if piece[-1].isalnum() and any(c.isspace() for c in piece[most:]) and all(inside_word(text, at + len(piece)) for at in places_of(piece, text)):
-        return "e"
-    if index > 0 and piece[0].isalnum() and any(c.isspace() for p in earlier for c in p[-most:-least]) and all(inside_word(text, at) for at in places_of(piece, text)):
-        return "f"
-    return ""
+            return "c", at
+        if not any(p.endswith(piece[:n]) for p in earlier for n in range(least, most + 1) if n <= len(piece) and n <= len(p)):
+            return "d", at
+    if piece[-1].isalnum() and any(c.isspace() for c in piece[most:]) and inside_word(text, at + len(piece)) and all(inside_word(text, x + len(piece)) for x in places_of(piece, text)):
+        return "e", at
+    if index > 0 and piece[0].isalnum() and any(c.isspace() for p in earlier for c in p[-most:-least]) and inside_word(text, at) and all(inside_word(text, x) for x in places_of(piece, text)):
+        return "f", at
+    return "", at
 
 
 def audit(recorded: DataFrame, rows: DataFrame, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> DataFrame:
@@ -221,39 +227,40 @@ def audit(recorded: DataFrame, rows: DataFrame, limit: int = LIMIT, overlap: tup
     # the last index of a block is the predecessor of the first of the next
     lent = part.where(F.pmod("chunk_idx", F.lit(BLOCK)) == BLOCK - 1).withColumn("_block", F.col("_block") + 1)
     known = rows.where("sha is not null and text is not null").select(F.col("sha").alias("doc_sha"), F.col("text").alias("_row")).dropDuplicates(["doc_sha"])
-    blocks = part.where("_block > 0").select("doc_sha", "_block").distinct()
-    first = known.select("doc_sha", F.lit(0).alias("_block"), F.lit(-1).alias("chunk_idx"), F.col("_row").alias("text"))
-    later = known.join(blocks, "doc_sha").select("doc_sha", "_block", F.lit(-1).alias("chunk_idx"), F.col("_row").alias("text"))
-    every = first.unionByName(later).unionByName(part.select("doc_sha", "_block", "chunk_idx", "text")).unionByName(lent.select("doc_sha", "_block", "chunk_idx", "text"))
-    placed = every.repartition("doc_sha", "_block").sortWithinPartitions("doc_sha", "_block", "chunk_idx")
+    blocks = part.where("_block <> 0").select("doc_sha", "_block").distinct()
+    first = known.select("doc_sha", F.lit(0).alias("_block"), F.lit(0).alias("_piece"), F.lit(0).alias("chunk_idx"), F.col("_row").alias("text"))
+    later = known.join(blocks, "doc_sha").select("doc_sha", "_block", F.lit(0).alias("_piece"), F.lit(0).alias("chunk_idx"), F.col("_row").alias("text"))
+    own = part.unionByName(lent).select("doc_sha", "_block", F.lit(1).alias("_piece"), "chunk_idx", "text")
+    placed = first.unionByName(later).unionByName(own).repartition("doc_sha", "_block").sortWithinPartitions("doc_sha", "_block", "_piece", "chunk_idx")
     spec = T._parse_datatype_string("doc_sha string, chunk_idx int, rule string")
     schema = to_arrow_schema(spec)
 
     def run(batches):
-        group, text, own, index, current, earlier = None, None, [], -1, [], []
+        group, text, own, index, current, earlier, near = None, None, [], None, [], [], 0
         for batch in batches:
             out = []
-            for sha, at, i, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for sha, at, is_piece, i, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 if (sha, at) != group:
-                    group, text, own, index, current, earlier = (sha, at), None, None, -1, [], []
-                if i == -1 and text is None:
+                    group, text, own, index, current, earlier, near = (sha, at), None, None, None, [], [], 0
+                if not is_piece:
                     text = piece
                     continue
                 if text is None:
                     continue
                 if i != index:
-                    earlier = current if i == index + 1 else []
+                    earlier = current if index is not None and i == index + 1 else []
                     index, current = i, []
                 current.append(piece)
-                if i < at * BLOCK and at:
-                    continue
+                if i // BLOCK != at:
+                    continue  # lent by the block before
                 if own is None:
                     own = cut(text, limit, overlap)
-                mine = i < len(own) and own[i] == piece and (i == 0 or own[i - 1] in earlier)
-                rule = "" if mine else wrong(piece, i, earlier, text, limit, overlap)
-                if rule:
-                    out.append((sha, i, rule))
+                mine = 0 <= i < len(own) and own[i] == piece and (i == 0 or own[i - 1] in earlier)
+                if not mine:
+                    rule, near = wrong(piece, i, earlier, text, limit, overlap, near)
+                    if rule:
+                        out.append((sha, i, rule))
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return placed.select("doc_sha", "_block", "chunk_idx", "text").mapInArrow(run, spec)
+    return placed.select("doc_sha", "_block", "_piece", "chunk_idx", "text").mapInArrow(run, spec)
