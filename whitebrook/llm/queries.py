@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import encoding, mixing, neardup, quality, repetition, sentences, splitting, token_budget
-from .scan import table
+from .scan import ensure_checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,11 +73,12 @@ def p7_found(spark, d):
 
 
 def p7_mix(spark, d):
-    return mixing.mix(_document_tokens(spark, d), table(spark, d, "mix_targets"))
+    return mixing.mix(table(spark, d, "documents"), _document_tokens(spark, d), table(spark, d, "mix_targets"))
 
 
 def p7_shares(spark, d):
-    return mixing.shares(_document_tokens(spark, d), table(spark, d, "mix_targets"))
+    ensure_checkpoint_dir(spark)
+    return mixing.shares(_document_tokens(spark, d).checkpoint(), table(spark, d, "mix_targets"))
 
 
 def p8_found(spark, d):
