@@ -68,15 +68,15 @@ def _classes() -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def _misread() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points that are damage, that misread the first byte of a UTF-8 sequence, and that misread a later one."""
-    damage, first, later = (np.zeros(0x110000, bool) for _ in range(3))
+def _misread() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points that are damage, and that misread the first byte of two, the first of more, and a later byte of a UTF-8 sequence."""
+    damage, two, more, later = (np.zeros(0x110000, bool) for _ in range(4))
     damage[[0xFFFD, *range(0x80, 0xA0)]] = True
     for page in _MISREAD_BY:
         for byte in range(0x80, 0xF5):
             at = ord(bytes([byte]).decode(page, "replace"))
-            (later if byte < 0xC0 else first)[at] |= byte < 0xC0 or byte >= 0xC2
-    return damage, first, later
+            (later if byte < 0xC0 else two if byte < 0xE0 else more)[at] |= byte not in (0xC0, 0xC1)
+    return damage, two, more, later
 
 
 def _usual(c: str) -> bool:
@@ -106,7 +106,7 @@ def _damage(line: str) -> int:
     for word in line.split():
         if not word.isascii() and _garbled(word):
             total += len(word)
-        elif not _URL.match(word):
+        elif not word.isalnum() and not _URL.match(word):
             total += sum(len(x) for x in _SIGNS.findall(word) if len(set(x)) > 2 and not set(x) <= set("?!.…,\"”’»)(]-–"))
     return total
 
@@ -181,9 +181,11 @@ def _lines(text: str) -> tuple[list[list], int, int, int, int]:
         np.add.at(long, np.searchsorted(starts, gaps[big] - 1, side="right") - 1, sizes[big])
     rows = text.split("\n")
     sign = (padded == _SIGN) | (padded == _DELIMITER) | (padded == _BAR)
-    damage, first, later = _misread()
-    odd = damage[points]
-    odd[: n - 1] |= first[points[: n - 1]] & later[points[1:]]
+    damage, two, more, later = _misread()
+    odd, after = damage[points], later[points]
+    if after.any():
+        odd[: n - 1] |= two[points[: n - 1]] & after[1:]
+        odd[: n - 2] |= more[points[: n - 2]] & after[1 : n - 1] & after[2:]
     odd[: n - 2] |= sign[: n - 2] & sign[1 : n - 1] & sign[2:n]
     if odd.any():
         for i in np.unique(np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1):
