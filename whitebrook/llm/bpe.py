@@ -7,7 +7,8 @@ pass, no merge loop. Texts are first cut into pre-tokens; each distinct pre-toke
 for a worker and then looked up.
 
 For vocabularies that are applied by longest match (word pieces), LongestMatch does the same with
-precomputed emissions at the failure links, in time linear in the text.
+precomputed emissions at the failure links, in time linear in the text. Greedy applies it to a
+byte-level vocabulary, which gives an upper estimate: longest match is not BPE.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ class ByteBpe:
     def _may_follow(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
             known = self.pairs[a, b] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
@@ -203,3 +206,27 @@ class LongestMatch:
 
     def count(self, word: str) -> int:
         return len(self.encode(word))
+
+
+class Greedy:
+    """Longest match over the pre-tokens of a byte-level vocabulary: what a tokenizer without merges would count."""
+
+    def __init__(self, exact: ByteBpe):
+        words = {token.decode("latin-1"): i for token, i in exact.ranks.items()}
+        self.pre, self.match, self.n_of = exact.pre, LongestMatch(words | {f"##{w}": i for w, i in words.items()}), {}
+
+    def count(self, text: str) -> int:
+        total = 0
+        for piece in self.pre.findall(text):
+            n = self.n_of.get(piece)
+            if n is None:
+                if len(self.n_of) >= MEMO:
+                    self.n_of.clear()
+                n = self.n_of[piece] = self.match.count(piece.encode("utf-8", "replace").decode("latin-1"))
+            total += n
+        return total
+
+
+@lru_cache(maxsize=2)
+def load_greedy(name: str = "byte_bpe_50k", folder: str | None = None) -> Greedy:
+    return Greedy(load(name, folder))

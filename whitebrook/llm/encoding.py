@@ -55,31 +55,32 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     schema = f"{key} {kind}, ids array<int>"
     small = scan(df.where(size <= chunk), [key, text], schema, lambda keys, texts: [keys, _ids(texts.to_pylist(), tokenizer, folder)])
 
-    large = df.where(size > chunk).groupBy(F.col(key).alias("_key"), F.col(text).alias("_text")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sha", F.sha2("_text", 256))
+    large = df.where(size > chunk).groupBy(F.col(key).alias("_key"), F.col(text).alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+    mark = F.concat_ws(":", F.coalesce(F.col("_key").cast("string"), F.lit("")), F.col("_key").isNull().cast("string"), "_text")
     last = F.floor((F.length("_text") - 1) / chunk).cast("int")
-    parts = large.select("_key", "_sha", "_n", last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_k"), "_text").select(
-        "_key", "_sha", "_n", "_last", "_k", F.substring(F.col("_text"), F.col("_k") * chunk + 1, F.lit(chunk + overlap)).alias("_part")
-    )
+    parts = large.select(F.sha2(mark, 256).alias("_id"), "_key", "_n", last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_k"), "_text").select(
+        "_id", "_key", "_n", "_last", "_k", F.substring(F.col("_text"), F.col("_k") * chunk + 1, F.lit(chunk + overlap)).alias("_part")
+    ).repartition("_id", "_k")
 
-    def edges(keys, shas, ns, lasts, ks, texts):
+    def edges(ids, lasts, ks, texts):
         left, right = [], []
         for end, k, part in zip(lasts.to_pylist(), ks.to_pylist(), texts.to_pylist()):
             sure = len(part) if k == end else len(part) - _AHEAD
             left.append([p + k * chunk for p in stitches(part, 1, min(overlap, sure), tokenizer, folder)] if k else [])
             right.append([p + k * chunk for p in stitches(part, chunk, min(len(part), sure), tokenizer, folder)] if k < end else [])
-        return [keys, shas, ns, ks, left, right, texts]
+        return [ids, ks, left, right]
 
-    cut = scan(parts.repartition("_key", "_sha", "_k"), ["_key", "_sha", "_n", "_last", "_k", "_part"], f"_key {kind}, _sha string, _n long, _k int, _left array<int>, _right array<int>, _part string", edges)
-    order = Window.partitionBy("_key", "_sha").orderBy("_k")
-    met = cut.withColumn("_to", F.array_min(F.array_intersect("_right", F.lead("_left").over(order))))
+    # the places alone are put in order; the parts' texts stay where they are
+    cut = scan(parts, ["_id", "_last", "_k", "_part"], "_id string, _k int, _left array<int>, _right array<int>", edges)
+    order = Window.partitionBy("_id").orderBy("_k")
+    met = cut.select("_id", "_k", F.array_min(F.array_intersect("_right", F.lead("_left").over(order))).alias("_to"))
     begun = met.withColumn("_from", F.lag("_to").over(order))
     start, stop = F.coalesce("_from", F.col("_k") * chunk), F.coalesce("_to", (F.col("_k") + 1) * chunk)
-    pieces = begun.select(
-        "_key", "_sha", "_n", "_k", F.sum(F.col("_from").isNotNull().cast("int")).over(order).alias("_g"), F.substring(F.col("_part"), start - F.col("_k") * chunk + 1, stop - start).alias("_piece")
-    )
-    whole = pieces.groupBy("_key", "_sha", "_n", "_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_piece"))), lambda x: x["_piece"]), "").alias("_piece"))
-    encoded = scan(whole, ["_key", "_sha", "_n", "_g", "_piece"], f"_key {kind}, _sha string, _n long, _g long, _ids array<int>", lambda a, b, c, d, texts: [a, b, c, d, _ids(texts.to_pylist(), tokenizer, folder)])
-    joined = encoded.groupBy("_key", "_sha", "_n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_g", "_ids"))), lambda x: x["_ids"])).alias("ids"))
+    spans = begun.select("_id", "_k", F.sum(F.col("_from").isNotNull().cast("int")).over(order).alias("_g"), start.alias("_start"), stop.alias("_stop"))
+    pieces = parts.join(spans, ["_id", "_k"]).select("_id", "_key", "_n", "_k", "_g", F.substring(F.col("_part"), F.col("_start") - F.col("_k") * chunk + 1, F.col("_stop") - F.col("_start")).alias("_piece"))
+    whole = pieces.groupBy("_id", "_key", "_n", "_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_piece"))), lambda x: x["_piece"]), "").alias("_piece"))
+    encoded = scan(whole, ["_id", "_key", "_n", "_g", "_piece"], f"_id string, _key {kind}, _n long, _g long, _ids array<int>", lambda a, b, c, d, texts: [a, b, c, d, _ids(texts.to_pylist(), tokenizer, folder)])
+    joined = encoded.groupBy("_id", "_key", "_n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_g", "_ids"))), lambda x: x["_ids"])).alias("ids"))
     again = joined.select(F.col("_key").alias(key), "ids", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(key, "ids")
     return small.unionByName(again)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import encoding, mixing, neardup, quality, repetition, sentences, splitting, token_budget
 from .scan import ensure_checkpoint_dir, table
@@ -64,6 +65,18 @@ def p5_budget(spark, d):
     return token_budget.budget(token_budget.token_counts(table(spark, d, "corpus"), "row_id", keep=("source", "lang", "domain")))
 
 
+def p5_greedy(spark, d):
+    """By source, the exact tokens and those of longest match, the linear count for vocabularies without merges."""
+    counts = token_budget.greedy_counts(table(spark, d, "corpus"), "row_id", keep=("source",))
+    return counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_greedy").alias("n_greedy"))
+
+
+def p6_decoded(spark, d):
+    """Documents whose ids do not decode to their text."""
+    whole = encoding.decode(encoding.token_ids(table(spark, d, "documents"))).withColumnRenamed("text", "decoded")
+    return table(spark, d, "documents").select("doc_id", "text").join(whole, "doc_id").where("decoded <> coalesce(text, '')").select("doc_id")
+
+
 def p6_ids(spark, d):
     return encoding.token_ids(table(spark, d, "documents"))
 

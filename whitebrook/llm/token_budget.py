@@ -26,6 +26,19 @@ def token_counts(df: DataFrame, key: str, text: str = "text", keep: tuple[str, .
     return scan(df, [*names, text], ", ".join([*(f"{c} {kinds[c]}" for c in names), "n_tokens long"]), batch)
 
 
+def greedy_counts(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = (), tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """(key, *keep, n_tokens, n_greedy): the exact count and that of longest match; null and empty texts have 0."""
+    kinds = dict(df.dtypes)
+
+    def batch(*columns):
+        exact, greedy = bpe.load(tokenizer, folder).count, bpe.load_greedy(tokenizer, folder).count
+        texts = [t or "" for t in columns[-1].to_pylist()]
+        return [*columns[:-1], [exact(t) for t in texts], [greedy(t) for t in texts]]
+
+    names = [key, *keep]
+    return scan(df, [*names, text], ", ".join([*(f"{c} {kinds[c]}" for c in names), "n_tokens long", "n_greedy long"]), batch)
+
+
 def budget(counts: DataFrame, by: tuple[str, ...] = ("source", "lang", "domain")) -> DataFrame:
     """Documents and tokens for each value of each column of by, and overall.
 
