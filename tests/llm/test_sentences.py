@@ -28,7 +28,7 @@ def test_words_are_counted_over_all_documents(spark, monkeypatch):
     assert model.ties == kinds.ties() and model.marked == kinds.marked() and model.marked
     got, known = sentences.statistics(df, whole)
     assert got == starters
-    for name in ("free", "name", "other", "digit", "low"):
+    for name in ("free", "name", "other", "digit", "low", "behind", "begins"):
         assert getattr(known, name) == getattr(kinds, name)
 
 
@@ -42,3 +42,23 @@ def test_brackets_of_any_length():
     assert sentences.brackets("(a (b) c) :( (d） e) f) (g\nh)") == [(0, 9), (11, 22), (23, 28)]
     assert sentences.brackets("(a\n \nb) (c)") == [(8, 11)]
     assert sentences.brackets("(" * 50_000 + "）" * 50_000) == []
+
+
+def test_reporting_words_are_learned():
+    texts = ["“山很高。”某说，水很深。河很长。某人来。山很高？“好！”某说，走。" * 5, "「山。」と川。川は長い。「川？」と山。" * 5]
+    starters = sentences.starters_of(texts)
+    kinds = sentences.Kinds(texts, starters)
+    reports = sentences.reports_of(kinds.behind, kinds.begins)
+    assert {"某说", "と", "と川"} <= reports and not {"某", "某人", "河很"} & reports
+    model = sentences.train(texts, starters, kinds)
+    for text in ("“山很高。”某说，水很深。河很长。", "「川？」と山。川は長い。"):
+        assert [text[a:b] for a, b in sentences.units(text, model)] == [text[: text.rindex("。", 0, -1) + 1], text[text.rindex("。", 0, -1) + 1 :]]
+
+
+def test_stops_of_other_scripts_end_units():
+    texts = ["ቤት ትልቅ ነው። ውሻ ይሮጣል። ", "မြို့ကြီးသည်။ လူများသည်။ ", "ផ្ទះធំ។ ឆ្កែរត់។ "]
+    model = sentences.train([t * 20 for t in texts])
+    for text in texts:
+        assert len(sentences.units(text, model)) == 2, text
+    lao = "ເຮືອນໃຫຍ່ ໝາແລ່ນ"
+    assert [e[0] for e in sentences.places(lao)] == ["may"]

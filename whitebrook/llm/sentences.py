@@ -11,7 +11,7 @@ texts with capitals, what follows a stop mostly tells whether it ended a sentenc
 begin paragraphs tell from names. The same places, stripped of their capitals, train the scores
 for texts that are written without; line ends of Thai texts, stripped to spaces, train those of a
 script without stops. What is known of words (which begin sentences, which stand before stops that
-do not end one) is counted over all documents whole, by distributed aggregation. Only the weights
+do not end one, which report a quotation) is counted over all documents whole, by distributed aggregation. Only the weights
 are fitted on a sample: at most TRAIN documents, taken in the order of a hash of their key, and at
 most TRAIN_CHARS characters of each. The model is applied to every document whole.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -39,22 +40,24 @@ UNMATCHED = -4.0
 
 _EMOJI = r"(?:[\U0001F1E6-\U0001F1FF\U0001F300-\U0001FAFF☀-➿⭐⭕‼⁉](?:[️‍\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]|(?<=‍)[\U0001F300-\U0001FAFF☀-➿♀♂])*)"
 _CLOSE = r"[”\"»’)\]」』）】›]"
-_THAI = r"ก-๛"
-#: Places that matter, tried in this order at each character.
-_EVENT = regex.compile(
+#: Scripts without stops and without spaces between words: Thai and Lao.
+_THAI = r"ก-๛ກ-ໟ"
+#: What Unicode says ends sentences, in the plane of living scripts.
+_STOPS = "".join(c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and regex.match(r"\p{STerm}", c)) + "…"
+#: Places that matter, tried in this order at each character that may begin one.
+_EVENT = re.compile(
+    rf"(?=[\s{_STOPS}\U0001F1E6-\U0001F1FF\U0001F300-\U0001FAFF☀-➿⭐⭕‼⁉„«「『“‹”»’」』›])(?:"
     r"(?P<para>\s*\n[^\S\n]*\n\s*)"
-    rf"|(?P<stop>[.!?…。！？।॥؟۔｡]+)(?P<close>{_CLOSE}*)(?P<after>(?:\s*{_EMOJI})*)(?P<gap>\s*)"
+    rf"|(?P<stop>[{_STOPS}]+)(?P<close>{_CLOSE}*)(?P<after>(?:\s*{_EMOJI})*)(?P<gap>\s*)"
     rf"|(?P<emoji>{_EMOJI}(?:\s*{_EMOJI})*)(?P<egap>\s*)"
     r"|(?P<open>[„«「『“‹])"
     r"|(?P<shut>[”»」』›])"
-    rf"|(?P<thai>(?<=[{_THAI}])\s+(?=[{_THAI}0-9])|(?<=[0-9])\s+(?=[{_THAI}]))"
+    rf"|(?P<thai>(?<=[{_THAI}])\s+(?=[{_THAI}0-9])|(?<=[0-9])\s+(?=[{_THAI}])))"
 )
-_BRACKET = regex.compile(r"[()（）]|\n\s*\n")
+_BRACKET = re.compile(r"[()（）]|\n\s*\n")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:[.'’][\p{L}\p{M}\p{N}]+)*")
 _OPENERS = "„«「『“‹\"'(（[¿¡‚‘"
-_FULL = set("。！？।॥؟۔｡")
-#: Words that report a quotation and follow its closing mark at once, in scripts without spaces (fixed values).
-_REPORTS = ("他说", "她说", "他问", "她问", "他们说", "说", "问道", "と", "って", "という")
+_FULL = set(_STOPS) - set(".!?…")
 
 
 class Place:
@@ -62,7 +65,7 @@ class Place:
 
     __slots__ = ("end", "next", "kind", "mark", "word", "cls", "opener", "quoted", "tight", "follow", "report")
 
-    def __init__(self, end: int, next_: int, kind: str, mark: str, word: str, cls: str, opener: bool, quoted: bool, tight: bool, follow: str, report: bool):
+    def __init__(self, end: int, next_: int, kind: str, mark: str, word: str, cls: str, opener: bool, quoted: bool, tight: bool, follow: str, report: str):
         self.end, self.next, self.kind, self.mark, self.word, self.cls, self.opener = end, next_, kind, mark, word, cls, opener
         self.quoted, self.tight, self.follow, self.report = quoted, tight, follow, report
 
@@ -150,7 +153,7 @@ def places(text: str) -> list[tuple]:
             if not inside:
                 before, after = text[at - 1].isdigit(), text[m.end()].isdigit()
                 line = "\n" in m[0]
-                out.append(("may", Place(at, m.end(), "thai", "line" if line else "space", "9" if before else "", "d" if after else "o", False, False, False, "", False)))
+                out.append(("may", Place(at, m.end(), "thai", "line" if line else "space", "9" if before else "", "d" if after else "o", False, False, False, "", "")))
         elif m["stop"]:
             close = m["close"]
             if inside:
@@ -175,7 +178,7 @@ def places(text: str) -> list[tuple]:
             if mark == "…" and (at and "぀" <= text[at - 1] <= "鿿"):
                 mark = "。"
             word = _word_before(text, at) if mark in ".…" else ""
-            report = bool(quotes) and not m["gap"] and text.startswith(_REPORTS, nxt)
+            report = text[nxt : nxt + 2] if quotes and not m["gap"] and cls == "o" else ""
             tight = not m["gap"] and not m["after"]
             out.append(("may", Place(end, nxt, "stop", mark, word, cls, opener, bool(close), tight, follow, report)))
         else:
@@ -187,7 +190,7 @@ def places(text: str) -> list[tuple]:
                 out.append(("para", end, nxt))
                 continue
             cls, opener, follow = _follow(text, nxt)
-            out.append(("may", Place(end, nxt, "emoji", m["emoji"].strip()[:16], "", cls, opener, False, not gap, follow, False)))
+            out.append(("may", Place(end, nxt, "emoji", m["emoji"].strip()[:16], "", cls, opener, False, not gap, follow, "")))
     return out
 
 
@@ -230,7 +233,16 @@ def style(text: str) -> str:
     return "unc" if other > upper + lower else "chat" if lower > upper else "std"
 
 
-def features(p: Place, manner: str, starters: dict[str, int], ties: frozenset[str] = frozenset(), marked: frozenset[str] = frozenset()) -> list[str]:
+def reports_of(behind: dict[str, int], begins: dict[str, int]) -> frozenset[str]:
+    """What reports a quotation in a script without spaces: the one or two characters that follow its closing mark at once, and seldom begin a sentence."""
+    return frozenset(w for w, n in behind.items() if n > 2 and n > 4 * begins.get(w, 0))
+
+
+def reporting(p: Place, reports: frozenset[str]) -> bool:
+    return bool(p.report) and (p.report in reports or p.report[0] in reports)
+
+
+def features(p: Place, manner: str, starters: dict[str, int], ties: frozenset[str] = frozenset(), marked: frozenset[str] = frozenset(), reports: frozenset[str] = frozenset()) -> list[str]:
     if p.kind == "thai":
         return ["thai", f"thai|{p.word}", f"thai>{p.cls}"]
     cls = p.cls if not p.opener else "(" + p.cls
@@ -253,7 +265,7 @@ def features(p: Place, manner: str, starters: dict[str, int], ties: frozenset[st
         out.append(f"q|{cls}|{manner}")
     if p.tight:
         out.append(f"t|{p.mark if p.kind == 'stop' else 'e'}|{cls}|{manner}")
-    if p.report:
+    if reporting(p, reports):
         out.append("report")
     return out
 
@@ -272,10 +284,21 @@ def starters_of(texts: list[str]) -> dict[str, int]:
     return {w: 1 if mid[w] * 4 <= first[w] else -1 if first[w] * 8 <= mid[w] else 2 for w in first.keys() | mid.keys() if first[w] + mid[w] > 1} | {"A.": -1}
 
 
+#: What follows a stop and a closing mark at once, and a stop alone, in scripts without spaces.
+_SCRIPT = r"(?:[^\W\d_A-Za-zÀ-ɏЀ-ӿ]\w?)"
+_BEHIND = re.compile(rf"[{_STOPS}][”」』»]({_SCRIPT})")
+_BEGINS = re.compile(rf"[{''.join(sorted(_FULL))}]({_SCRIPT})")
+
+
 def _seen(text: str) -> Counter:
     """What a text tells of its words: (group, word, the word that follows) and how often."""
     out = Counter(("first", w, "") for w in _begins(text, _FIRST_AT, _FIRST, 1))
     out.update(("mid", w, "") for w in _CAPITAL.findall(text))
+    for part, pattern in (("behind", _BEHIND), ("begins", _BEGINS)):
+        for w in pattern.findall(text):
+            out[part, w[0], ""] += 1
+            if len(w) > 1:
+                out[part, w, ""] += 1
     if style(text) == "std":
         for event in places(text):
             if event[0] == "may" and event[1].kind == "stop" and event[1].mark in ".…":
@@ -292,13 +315,16 @@ class Kinds:
 
     def __init__(self, texts: list[str], starters: dict[str, int]):
         self.free, self.name, self.other, self.digit, self.low = Counter(), Counter(), Counter(), Counter(), Counter()
+        self.behind, self.begins = Counter(), Counter()
         groups = {1: self.free, -1: self.name}
         for t in texts:
             for (group, word, follow), n in _seen(t).items():
                 if group == "U":
                     groups.get(starters.get(follow, 0), self.other)[word] += n
-                elif group in "dl":
+                elif group in ("d", "l"):
                     (self.digit if group == "d" else self.low)[word] += n
+                elif group in ("behind", "begins"):
+                    getattr(self, group)[word] += n
 
     def marked(self) -> frozenset[str]:
         """Words that mostly stand before what does not begin a sentence; only these have weights of their own."""
@@ -312,13 +338,13 @@ class Kinds:
         return frozenset(w for w in self.name.keys() | self.other.keys() if not self.free[w] and self.name[w] + self.other[w] > 2)
 
 
-def _label(p: Place, manner: str, starters: dict[str, int], kinds: Kinds, ties: frozenset[str]) -> int | None:
+def _label(p: Place, manner: str, starters: dict[str, int], kinds: Kinds, ties: frozenset[str], reports: frozenset[str]) -> int | None:
     """What the surroundings tell of a place in a text with capitals: 1 boundary, 0 inside, None unknown."""
     if p.kind == "thai":
         return 0 if p.word == "9" or p.cls == "d" else 1 if p.mark == "line" else None
     if manner == "chat":
         return None
-    if p.report:
+    if reporting(p, reports):
         return 0
     if p.mark in "。।" and p.kind == "stop":
         return 1
@@ -354,12 +380,12 @@ def _label(p: Place, manner: str, starters: dict[str, int], kinds: Kinds, ties:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], starters: dict[str, int], ties: frozenset[str] = frozenset(), marked: frozenset[str] = frozenset()):
-        self.weights, self.starters, self.ties, self.marked = weights, starters, ties, marked
+    def __init__(self, weights: dict[str, float], starters: dict[str, int], ties: frozenset[str] = frozenset(), marked: frozenset[str] = frozenset(), reports: frozenset[str] = frozenset()):
+        self.weights, self.starters, self.ties, self.marked, self.reports = weights, starters, ties, marked, reports
 
     def score(self, p: Place, manner: str) -> float:
         get = self.weights.get
-        return sum([get(f, 0.0) for f in features(p, manner, self.starters, self.ties, self.marked)])
+        return sum([get(f, 0.0) for f in features(p, manner, self.starters, self.ties, self.marked, self.reports)])
 
 
 def train(texts: list[str], starters: dict[str, int] | None = None, kinds: Kinds | None = None, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -369,7 +395,7 @@ def train(texts: list[str], starters: dict[str, int] | None = None, kinds: Kinds
     """
     starters = starters_of(texts) if starters is None else starters
     kinds = kinds or Kinds(texts, starters)
-    ties, marked = kinds.ties(), kinds.marked()
+    ties, marked, reports = kinds.ties(), kinds.marked(), reports_of(kinds.behind, kinds.begins)
     examples: list[tuple[tuple[str, ...], int]] = []
     for t in texts:
         manner = style(t)
@@ -377,14 +403,14 @@ def train(texts: list[str], starters: dict[str, int] | None = None, kinds: Kinds
             if event[0] != "may":
                 continue
             p = event[1]
-            y = _label(p, manner, starters, kinds, ties)
+            y = _label(p, manner, starters, kinds, ties, reports)
             if y is None:
                 continue
-            examples.append((tuple(features(p, manner, starters, ties, marked)), y))
+            examples.append((tuple(features(p, manner, starters, ties, marked, reports)), y))
             if manner == "std" and p.kind != "thai" and p.cls in "Ul" and not p.opener:
                 bare = Place(p.end, p.next, p.kind, p.mark, p.word, "l", False, p.quoted, p.tight, p.follow, p.report)
                 if not p.quoted and not p.tight:
-                    examples.append((tuple(features(bare, "chat", starters, ties, marked)), y))
+                    examples.append((tuple(features(bare, "chat", starters, ties, marked, reports)), y))
     weights: dict[str, float] = {"thai": 2.0, "thai|9": -6.0, "thai>d": -6.0, "report": -8.0, "stop|。|o|unc": 4.0}
     sums: dict[str, float] = {}
     order = random.Random(seed)
@@ -401,7 +427,7 @@ def train(texts: list[str], starters: dict[str, int] | None = None, kinds: Kinds
                 weights[f] = weights.get(f, 0.0) + 0.5 * g / s**0.5
     if len(weights) > MAX_WEIGHTS:
         weights = dict(sorted(weights.items(), key=lambda x: -abs(x[1]))[:MAX_WEIGHTS])
-    return Model(weights, starters, ties, marked)
+    return Model(weights, starters, ties, marked, reports)
 
 
 def units(text: str | None, model: Model) -> list[tuple[int, int]]:
@@ -497,6 +523,10 @@ def statistics(df: DataFrame, texts: list[str], text: str = "text") -> tuple[dic
             for counter, n in ((kinds.free, r.free), (kinds.name, r.name), (kinds.other, r.other), (kinds.digit, r.d), (kinds.low, r.l)):
                 if n:
                     counter[r.word] = n
+        # at most one or two characters each; those that are seldom behind a quotation have no effect
+        pairs = seen.where(F.col("part").isin("behind", "begins")).groupBy("word").agg(count("behind").alias("behind"), count("begins").alias("begins")).where("behind > 2")
+        for r in pairs.collect():
+            kinds.behind[r.word], kinds.begins[r.word] = r.behind, r.begins
         return starters, kinds
     finally:
         seen.unpersist()
@@ -521,8 +551,8 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", model: Mod
     return scan(df, [key, text], f"{key} {kind}, sent_start int, sent_end int", batch)
 
 
-def _plain(model: Model) -> tuple[dict[str, float], dict[str, int], frozenset[str], frozenset[str]]:
-    return model.weights, model.starters, model.ties, model.marked
+def _plain(model: Model) -> tuple[dict[str, float], dict[str, int], frozenset[str], frozenset[str], frozenset[str]]:
+    return model.weights, model.starters, model.ties, model.marked, model.reports
 
 
 @lru_cache(maxsize=2)
