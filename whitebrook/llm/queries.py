@@ -32,6 +32,10 @@ def p1_repetition(spark, d):
     return repetition.repetition(table(spark, d, "corpus"))
 
 
+def p1_shares(spark, d):
+    return repetition.repetition(table(spark, d, "corpus")).select("row_id", "n_letters", F.round("repeated_share", 9).alias("repeated_share"))
+
+
 def p2_found(spark, d):
     return splitting.audit(table(spark, d, "chunks"), table(spark, d, "corpus")).select("doc_sha", "chunk_idx")
 
@@ -48,6 +52,11 @@ def p3_statistics(spark, d):
     return quality.quality(table(spark, d, "corpus"), _words(spark, d))
 
 
+def p3_words(spark, d):
+    counts = quality.quality(table(spark, d, "corpus"), _words(spark, d))
+    return counts.select("row_id", "n_chars_true", "word_count", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "common_word_share")])
+
+
 def p4_found(spark, d):
     return neardup.row_pairs(table(spark, d, "corpus"), **LIKE)
 
