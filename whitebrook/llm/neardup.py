@@ -7,9 +7,10 @@ longer prefix costs postings, but asks for more shared runs and so leaves fewer
 A pair must share min(k, k') runs of the two prefixes; what does is verified exactly.
 
 The order is rarest first by the number of documents that hold a run. Documents stand in lots (by
-a hash of their key, LOT documents or LOT_CHARS characters each). A lot sends its distinct runs and
-their counts as sorted, packed blocks to buckets; a bucket of about BUCKET runs adds them up and
-sends each block's counts back to its lot. So the counts are exact whatever the size (runs are cut
+a hash of their key, of about LOT documents and LOT_CHARS characters at most). A lot sends its
+distinct runs and their counts as sorted, packed blocks to buckets; a bucket of about BUCKET runs
+adds them up and sends each block's counts back to its lot. A run takes about two bytes of the
+shuffle while blocks hold many runs, which ends at about 1 TB of text; the results stay the same. So the counts are exact whatever the size (runs are cut
 to so many bits that a false match is rare; it can only make a run look more frequent), nothing is
 broadcast, and a run that every document holds adds one entry for each lot. A run that one document
 holds needs no posting, and a document with more of them than its prefix has none at all.
@@ -39,9 +40,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .scan import ensure_checkpoint_dir, scan
 
-LOT = 2_048
-LOT_CHARS = 8_000_000
-BUCKET = 1_000_000
+#: Documents of a lot, in small and in large tables, its characters, and the runs of a bucket: a few hundred MB each.
+LOT = (2_048, 8_192)
+LOT_CHARS = 24_000_000
+BUCKET = 2_000_000
 VERIFY_COST = 20.0
 STEPS = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 
@@ -130,7 +132,8 @@ class _Lots:
     """How documents are laid out: lots, buckets and the bits of a run that are counted."""
 
     def __init__(self, n_rows: int, n_chars: int):
-        self.lots = max(1, -(-n_rows // LOT), -(-n_chars // LOT_CHARS))
+        size = min(LOT[1], max(LOT[0], n_rows // 256))
+        self.lots = max(1, -(-n_rows // size), -(-n_chars // LOT_CHARS))
         runs = max(2, n_chars // 6)  # about one for each word
         self.bucket_bits = max(0, math.ceil(math.log2(runs / BUCKET)))
         self.bits = min(64, max(24, math.ceil(math.log2(runs)) + 8))
