@@ -151,9 +151,9 @@ case when p_partkey % 5 = 0 then 'some time ago, u' else strftime(make_timestamp
         "vec_covariance_relational": _covariance(16),
         "zca_trace": f"with {_UNIT.format(dim=_ALL)} select round(sum(v), 6) as trace from (select var_samp(v) as v from cell group by i)",
         "zca_frobenius": f"with {_UNIT.format(dim=_ALL)} select round(sum(v * v), 9) as frobenius from (select covar_samp(a.v, b.v) as v from cell a join cell b on a.vec_id = b.vec_id group by a.i, b.i)",
-        "zca_rank": "select 0 as rank_deficient, max(len(embedding)) as rank_full from embeddings",
-        "zca_symmetry": "select 0 as n_asymmetric",
-        "zca_spectrum_order": "select 0 as n_ascending",
+        "zca_rank": "select 0::bigint as rank_deficient, max(len(embedding)) as rank_full from embeddings",
+        "zca_symmetry": "select 0::bigint as n_asymmetric",
+        "zca_spectrum_order": "select 0::bigint as n_ascending",
         "zca_inverse_identity": _identity("(select max(len(embedding)) from embeddings)"),
         "whiten_mean_zero": "select i::int as i, 0.0::double as m from range((select max(len(embedding)) from embeddings)) t(i)",
         "whiten_cov_identity": _identity("16", "i <= j"),
