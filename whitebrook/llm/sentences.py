@@ -13,7 +13,8 @@ for texts that are written without; line ends of Thai texts, stripped to spaces,
 script without stops. What is known of words (which begin sentences, which stand before stops that
 do not end one, which report a quotation) is counted over all documents whole, by distributed aggregation. Only the weights
 are fitted on a sample: at most TRAIN documents, taken in the order of a hash of their key, and at
-most TRAIN_CHARS characters of each. The model is applied to every document whole.
+most TRAIN_CHARS characters of each. The model, its words and weights, has a fixed greatest size; it
+is applied to every document whole.
 
 Null, empty and blank texts have no units.
 """
@@ -36,6 +37,8 @@ TRAIN = 2_000
 TRAIN_CHARS = 8_000
 EPOCHS = 10
 MAX_WEIGHTS = 60_000
+#: Words of the model, the most frequent ones of all documents; rarer ones are unknown to it (sf0.1 has about 3,000).
+MAX_WORDS = 200_000
 UNMATCHED = -4.0
 
 _EMOJI = r"(?:[\U0001F1E6-\U0001F1FF\U0001F300-\U0001FAFF☀-➿⭐⭕‼⁉](?:[️‍\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]|(?<=‍)[\U0001F300-\U0001FAFF☀-➿♀♂])*)"
@@ -507,7 +510,7 @@ def statistics(df: DataFrame, texts: list[str], text: str = "text") -> tuple[dic
     seen = scan(df, [text], "part string, word string, follow string, n long", batch).groupBy("part", "word", "follow").agg(F.sum("n").alias("n")).persist()
     try:
         count = lambda *parts: F.sum(F.when(F.col("part").isin(*parts), F.col("n")).otherwise(0))
-        words = seen.where(F.col("part").isin("first", "mid")).groupBy("word").agg(count("first").alias("first"), count("mid").alias("mid")).where("first + mid > 1")
+        words = seen.where(F.col("part").isin("first", "mid")).groupBy("word").agg(count("first").alias("first"), count("mid").alias("mid")).where("first + mid > 1").orderBy(F.desc(F.col("first") + F.col("mid")), "word").limit(MAX_WORDS)
         kind = F.when(F.col("mid") * 4 <= F.col("first"), 1).when(F.col("first") * 8 <= F.col("mid"), -1).otherwise(2)
         known = words.select(F.col("word").alias("follow"), kind.alias("x"))
         starters = {r.follow: r.x for r in known.collect()} | {"A.": -1}
@@ -519,13 +522,14 @@ def statistics(df: DataFrame, texts: list[str], text: str = "text") -> tuple[dic
         own = sorted({w for t in texts for _, w, _ in _seen(t)})
         sampled = df.sparkSession.createDataFrame([(w,) for w in own], "word string").withColumn("own", F.lit(True))
         kinds = Kinds([], {})
-        for r in sums.join(F.broadcast(sampled), "word", "left").where("own or name + other + d + l > 2").collect():
+        told = sums.join(F.broadcast(sampled), "word", "left").where("own or name + other + d + l > 2")
+        for r in told.orderBy(F.desc(F.col("free") + F.col("name") + F.col("other") + F.col("d") + F.col("l")), "word").limit(MAX_WORDS).collect():
             for counter, n in ((kinds.free, r.free), (kinds.name, r.name), (kinds.other, r.other), (kinds.digit, r.d), (kinds.low, r.l)):
                 if n:
                     counter[r.word] = n
         # at most one or two characters each; those that are seldom behind a quotation have no effect
         pairs = seen.where(F.col("part").isin("behind", "begins")).groupBy("word").agg(count("behind").alias("behind"), count("begins").alias("begins")).where("behind > 2")
-        for r in pairs.collect():
+        for r in pairs.orderBy(F.desc("behind"), "word").limit(MAX_WORDS).collect():
             kinds.behind[r.word], kinds.begins[r.word] = r.behind, r.begins
         return starters, kinds
     finally:
