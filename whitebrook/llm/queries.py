@@ -80,16 +80,16 @@ def p5_greedy(spark, d):
     return counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_greedy").alias("n_greedy"))
 
 
-def p6_decoded(spark, d):
+def p6_ids(spark, d):
+    return encoding.token_ids(table(spark, d, "documents"))
+
+
+def p6_roundtrip(spark, d):
     """Documents whose ids do not decode to their text."""
     whole = encoding.decode(encoding.token_ids(table(spark, d, "documents"))).withColumnRenamed("text", "decoded")
     return table(spark, d, "documents").select("doc_id", "text").join(whole, "doc_id").where("decoded <> coalesce(text, '')").select("doc_id")
 
 
-def p6_ids(spark, d):
-    return encoding.token_ids(table(spark, d, "documents"))
-
-
 def p7_found(spark, d):
     return mixing.unreachable(_document_tokens(spark, d), table(spark, d, "mix_targets"))
 
