@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .scan import ensure_checkpoint_dir, scan
 
 #: Documents of a lot, in small and in large tables, its characters, and the runs of a bucket: a few hundred MB each.
-LOT = (2_048, 8_192)
+LOT = (1_024, 8_192)
 LOT_CHARS = 24_000_000
 BUCKET = 2_000_000
 VERIFY_COST = 20.0
