@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -57,10 +59,13 @@ def tokenizer_dir() -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that spark.checkpoint.dir names, where no checkpoint folder is set yet; without either, raise."""
+    """Use the shared folder that spark.checkpoint.dir names, where no checkpoint folder is set yet.
+
+    Where none is named, a session on one machine gets a folder of its own; on a cluster that raises.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="whitebrook-"))
