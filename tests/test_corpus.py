@@ -18,10 +18,10 @@ def raw(spark):
 
 
 def test_gates(spark, raw):
-    assert adapters.SOURCES.keys() == {"wikipedia", "fineweb", "oasst", "fineweb_more"}
+    assert adapters.SOURCES.keys() == {"wikipedia", "fineweb", "oasst"}
     found = {name: {r.row_id for r in make().select("row_id").collect()} for name, make in adapters.sources_of(raw).items()}
     assert found["wikipedia"] == {*range(30), 300, 301} and found["oasst"] == {200, 204}
-    assert found["fineweb"] == found["fineweb_more"] == {100 + i for i in range(36) if i % 6 != 3}
+    assert found["fineweb"] == {100 + i for i in range(36) if i % 6 != 3}
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -50,7 +50,7 @@ def test_fingerprints(spark):
 
 
 def test_manifest_and_sinks(spark, raw, tmp_path):
-    targets = dict(zip(adapters.SOURCES, (10, 8, 4, 12)))
+    targets = dict(zip(("wikipedia", "fineweb", "oasst", "fineweb_more"), (10, 8, 4, 12)))
     corpus = co.mix(adapters.tiers(*targets.values()), adapters.sources_of(raw))
     path, made = str(tmp_path / "corpus"), []
 

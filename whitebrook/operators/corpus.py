@@ -83,15 +83,19 @@ def mix(tiers: list[Tier], sources: dict[str, Callable[[], DataFrame]], seed: in
     A tier that its source cannot fill is shorter and the next follows at once; see shortfalls.
     Tiers of one source never share a row, as they are ranges of the same ranks.
     """
-    out, sizes = [], []
-    for i, t in enumerate(tiers):
-        rows = long_enough(sources[t.source](), min_chars=min_chars, max_chars=max_chars).withColumn("source", F.lit(t.tag or t.source))
-        got = take(rows, t.n, t.skip, seed).select(F.lit(i).alias("tier_ord"), F.lit(t.name).alias("tier"), "source", F.col("row_id").alias("source_row"), "text", (F.col("rank") - t.skip - 1).cast("long").alias("at"))
-        out.append(got)
-        sizes.append(got.select("tier_ord"))
-    every = _union(out)
-    # one row a tier: a window over the few tiers gives where each begins
-    counts = _union(sizes).groupBy("tier_ord").agg(F.count(F.lit(1)).alias("n"))
+    kept, by = [], {t.source: [(i, t2) for i, t2 in enumerate(tiers) if t2.source == t.source] for t in tiers}
+    for source, own in by.items():  # a source is ranked once for all of its tiers
+        rows = long_enough(sources[source](), min_chars=min_chars, max_chars=max_chars).withColumn("source", F.lit(source))
+        every = ranked(rows, seed, max(t.skip + t.n for _, t in own))
+        for i, t in own:
+            inside = (F.col("rank") > t.skip) & (F.col("rank") <= t.skip + t.n)
+            place = F.struct(F.lit(i).alias("tier_ord"), F.lit(t.name).alias("tier"), F.lit(t.tag or t.source).alias("source"), (F.col("rank") - t.skip - 1).cast("long").alias("at"))
+            every = every.withColumn(f"_t{i}", F.when(inside, place))
+        places = F.filter(F.array(*[f"_t{i}" for i, _ in own]), lambda x: x.isNotNull())
+        kept.append(every.select(F.col("row_id").alias("source_row"), "text", F.explode(places).alias("t")))
+    every = _union(kept).select("t.*", "source_row", "text")
+    # a row a tier: a window over the few tiers gives where each begins
+    counts = every.groupBy("tier_ord").agg(F.count(F.lit(1)).alias("n"))
     begins = counts.select("tier_ord", (F.sum("n").over(Window.orderBy("tier_ord")) - F.col("n")).alias("begin"))
     placed = every.join(F.broadcast(begins), "tier_ord")  # as many rows as tiers
     return placed.select((F.col("begin") + F.col("at")).alias("row_id"), "tier", "source", "source_row", "text", tx.doc_digest("text").alias("sha"), F.length("text").cast("long").alias("n_chars"))

@@ -32,8 +32,7 @@ def conversations(raw: DataFrame) -> DataFrame:
     return _named("oasst")(raw).where(co.lang_gate())
 
 
-#: The second web tier goes on where the first ended; it reads the same source and has its tag.
-SOURCES: dict[str, Source] = {"wikipedia": encyclopedia, "fineweb": web, "oasst": conversations, "fineweb_more": web}
+SOURCES: dict[str, Source] = {"wikipedia": encyclopedia, "fineweb": web, "oasst": conversations}
 
 
 def sources_of(raw: DataFrame) -> dict[str, Callable[[], DataFrame]]:
@@ -41,12 +40,12 @@ def sources_of(raw: DataFrame) -> dict[str, Callable[[], DataFrame]]:
 
 
 def tiers(wikipedia: int, fineweb: int, oasst: int, fineweb_more: int) -> list[co.Tier]:
-    """The tiers in their fixed order; the second web tier skips as many rows as the first takes."""
+    """The tiers in their fixed order; the second web tier goes on in the same source where the first ends."""
     return [
         co.Tier("wikipedia", "wikipedia", wikipedia),
         co.Tier("fineweb", "fineweb", fineweb),
         co.Tier("oasst", "oasst", oasst),
-        co.Tier("fineweb_more", "fineweb_more", fineweb_more, skip=fineweb, tag="fineweb"),
+        co.Tier("fineweb_more", "fineweb", fineweb_more, skip=fineweb),
     ]
 
 
