@@ -28,7 +28,7 @@ def test_words_are_counted_over_all_documents(spark, monkeypatch):
     assert model.ties == kinds.ties() and model.marked == kinds.marked() and model.marked
     got, known = sentences.statistics(df, whole)
     assert got == starters
-    for name in ("free", "name", "other", "digit", "low", "behind", "begins"):
+    for name in ("free", "name", "other", "digit", "low", "behind", "begins", "quote"):
         assert getattr(known, name) == getattr(kinds, name)
 
 

@@ -4,7 +4,8 @@ A text is a chain of characters that are each tagged as boundary or inside. Near
 can only be inside, so the chain is kept at the places that can end a unit: stops with the closing
 marks and emoji after them, emoji alone, blank lines, opening and closing quotation marks, and in
 Thai whitespace. The states are boundary and inside, outside and within a quotation; within one no
-boundary is possible, an unmatched mark costs, and a blank line always ends a unit.
+boundary is possible, a transition that leaves a mark without partner costs what its rarity in all
+documents tells, and a blank line always ends a unit.
 
 The scores of the places come from a log-linear model that is trained here, without labels: in
 texts with capitals, what follows a stop mostly tells whether it ended a sentence, and words that
@@ -39,7 +40,6 @@ EPOCHS = 10
 MAX_WEIGHTS = 60_000
 #: Words of the model, the most frequent ones of all documents; rarer ones are unknown to it (sf0.1 has about 3,000).
 MAX_WORDS = 200_000
-UNMATCHED = -4.0
 
 _EMOJI = r"(?:[\U0001F1E6-\U0001F1FF\U0001F300-\U0001FAFF☀-➿⭐⭕‼⁉](?:[️‍\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]|(?<=‍)[\U0001F300-\U0001FAFF☀-➿♀♂])*)"
 _CLOSE = r"[”\"»’)\]」』）】›]"
@@ -287,6 +287,24 @@ def starters_of(texts: list[str]) -> dict[str, int]:
     return {w: 1 if mid[w] * 4 <= first[w] else -1 if first[w] * 8 <= mid[w] else 2 for w in first.keys() | mid.keys() if first[w] + mid[w] > 1} | {"A.": -1}
 
 
+def _quotes(events: list[tuple]) -> tuple[int, int]:
+    """How many quotation marks have no partner in their paragraph, and how many pairs there are."""
+    lone = matched = 0
+    within = False
+    for event in events:
+        if event[0] == "open":
+            lone += within
+            within = True
+        elif event[0] == "shut":
+            lone += not within
+            matched += within
+            within = False
+        elif event[0] == "para":
+            lone += within
+            within = False
+    return lone + within, matched
+
+
 #: What follows a stop and a closing mark at once, and a stop alone, in scripts without spaces.
 _SCRIPT = r"(?:[^\W\d_A-Za-zÀ-ɏЀ-ӿ]\w?)"
 _BEHIND = re.compile(rf"[{_STOPS}][”」』»]({_SCRIPT})")
@@ -303,7 +321,9 @@ def _seen(text: str) -> Counter:
             if len(w) > 1:
                 out[part, w, ""] += 1
     if style(text) == "std":
-        for event in places(text):
+        events = places(text)
+        out["quote", "lone", ""], out["quote", "matched", ""] = _quotes(events)
+        for event in events:
             if event[0] == "may" and event[1].kind == "stop" and event[1].mark in ".…":
                 p = event[1]
                 if p.cls == "U":
@@ -318,7 +338,7 @@ class Kinds:
 
     def __init__(self, texts: list[str], starters: dict[str, int]):
         self.free, self.name, self.other, self.digit, self.low = Counter(), Counter(), Counter(), Counter(), Counter()
-        self.behind, self.begins = Counter(), Counter()
+        self.behind, self.begins, self.quote = Counter(), Counter(), Counter()
         groups = {1: self.free, -1: self.name}
         for t in texts:
             for (group, word, follow), n in _seen(t).items():
@@ -326,9 +346,14 @@ class Kinds:
                     groups.get(starters.get(follow, 0), self.other)[word] += n
                 elif group in ("d", "l"):
                     (self.digit if group == "d" else self.low)[word] += n
-                elif group in ("behind", "begins"):
+                elif group in ("behind", "begins", "quote"):
                     getattr(self, group)[word] += n
 
+    def unmatched(self) -> float:
+        """The score of a transition that leaves a quotation mark without partner: how rare that is among the marks of all documents."""
+        lone, matched = self.quote["lone"], self.quote["matched"]
+        return math.log((lone + 1) / (lone + 2 * matched + 20))
+
     def marked(self) -> frozenset[str]:
         """Words that mostly stand before what does not begin a sentence; only these have weights of their own."""
         against = self.name + self.other + self.digit + self.low
@@ -383,8 +408,8 @@ def _label(p: Place, manner: str, starters: dict[str, int], kinds: Kinds, ties:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], starters: dict[str, int], ties: frozenset[str] = frozenset(), marked: frozenset[str] = frozenset(), reports: frozenset[str] = frozenset()):
-        self.weights, self.starters, self.ties, self.marked, self.reports = weights, starters, ties, marked, reports
+    def __init__(self, weights: dict[str, float], starters: dict[str, int], ties: frozenset[str] = frozenset(), marked: frozenset[str] = frozenset(), reports: frozenset[str] = frozenset(), unmatched: float = -3.0):
+        self.weights, self.starters, self.ties, self.marked, self.reports, self.unmatched = weights, starters, ties, marked, reports, unmatched
 
     def score(self, p: Place, manner: str) -> float:
         get = self.weights.get
@@ -430,7 +455,7 @@ def train(texts: list[str], starters: dict[str, int] | None = None, kinds: Kinds
                 weights[f] = weights.get(f, 0.0) + 0.5 * g / s**0.5
     if len(weights) > MAX_WEIGHTS:
         weights = dict(sorted(weights.items(), key=lambda x: -abs(x[1]))[:MAX_WEIGHTS])
-    return Model(weights, starters, ties, marked, reports)
+    return Model(weights, starters, ties, marked, reports, kinds.unmatched())
 
 
 def units(text: str | None, model: Model) -> list[tuple[int, int]]:
@@ -439,7 +464,7 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
         return []
     events = places(text)
     manner = style(text)
-    out_score, in_score = 0.0, -1e9
+    out_score, in_score, lone = 0.0, -1e9, model.unmatched
     back: list[tuple[int, int, bool]] = []  # where each state came from, and whether outside a boundary was set
     for event in events:
         kind = event[0]
@@ -449,21 +474,21 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
             out_score -= math.log1p(math.exp(-abs(z))) if abs(z) < 30 else 0.0
             back.append((0, 1, cut))
         elif kind == "open":
-            stay, enter = out_score + UNMATCHED, out_score
+            stay, enter = out_score + lone, out_score
             came_in = 0 if enter >= in_score else 1
             out_score, in_score = stay, max(enter, in_score)
             back.append((0, came_in, False))
         elif kind == "shut":
-            leave, stay = in_score, out_score + UNMATCHED
+            leave, stay = in_score, out_score + lone
             came_out = 1 if leave >= stay else 0
-            out_score, in_score = max(leave, stay), in_score + UNMATCHED
+            out_score, in_score = max(leave, stay), in_score + lone
             back.append((came_out, 1, False))
         else:
-            leave = in_score + UNMATCHED
+            leave = in_score + lone
             came_out = 1 if leave > out_score else 0
             out_score, in_score = max(out_score, leave), -1e9
             back.append((came_out, 0, True))
-    state = 0 if out_score >= in_score + UNMATCHED else 1
+    state = 0 if out_score >= in_score + lone else 1
     cuts: list[tuple[int, int]] = []
     for event, (came_out, came_in, cut) in zip(reversed(events), reversed(back)):
         if event[0] == "para":
@@ -527,6 +552,8 @@ def statistics(df: DataFrame, texts: list[str], text: str = "text") -> tuple[dic
             for counter, n in ((kinds.free, r.free), (kinds.name, r.name), (kinds.other, r.other), (kinds.digit, r.d), (kinds.low, r.l)):
                 if n:
                     counter[r.word] = n
+        for r in seen.where("part = 'quote'").select("word", "n").collect():  # two rows
+            kinds.quote[r.word] = r.n
         # at most one or two characters each; those that are seldom behind a quotation have no effect
         pairs = seen.where(F.col("part").isin("behind", "begins")).groupBy("word").agg(count("behind").alias("behind"), count("begins").alias("begins")).where("behind > 2")
         for r in pairs.orderBy(F.desc("behind"), "word").limit(MAX_WORDS).collect():
@@ -555,8 +582,8 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", model: Mod
     return scan(df, [key, text], f"{key} {kind}, sent_start int, sent_end int", batch)
 
 
-def _plain(model: Model) -> tuple[dict[str, float], dict[str, int], frozenset[str], frozenset[str], frozenset[str]]:
-    return model.weights, model.starters, model.ties, model.marked, model.reports
+def _plain(model: Model) -> tuple[dict[str, float], dict[str, int], frozenset[str], frozenset[str], frozenset[str], float]:
+    return model.weights, model.starters, model.ties, model.marked, model.reports, model.unmatched
 
 
 @lru_cache(maxsize=2)
