@@ -62,3 +62,12 @@ def test_stops_of_other_scripts_end_units():
         assert len(sentences.units(text, model)) == 2, text
     lao = "ເຮືອນໃຫຍ່ ໝາແລ່ນ"
     assert [e[0] for e in sentences.places(lao)] == ["may"]
+
+
+def test_the_sample_is_the_lowest_hashes_however_many_rows(spark):
+    df = spark.createDataFrame([(i, f"tekst {i}" if i % 3 else " ") for i in range(900)], "doc_id long, text string").repartition(7)
+    every = sentences.sample(df, "doc_id", "text", 10_000, 7)
+    assert len(every) == 600 and all(len(t) <= 7 for t in every)
+    for limit in (1, 10, 100):
+        assert sentences.sample(df, "doc_id", "text", limit, 7) == every[:limit]
+    assert sentences.sample(df.limit(0), "doc_id", "text") == []

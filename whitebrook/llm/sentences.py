@@ -511,9 +511,18 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 
 def sample(df: DataFrame, key: str, text: str, limit: int = TRAIN, chars: int = TRAIN_CHARS) -> list[str]:
-    """At most limit texts of at most chars characters each, in the order of a hash of the key."""
+    """At most limit texts of at most chars characters each, in the order of a hash of the key.
+
+    Only rows whose hash is low enough for about twice limit rows come to the driver, however many tasks there are.
+    """
     rows = df.where(F.length(F.trim(text)) > 0).select(F.xxhash64(key).alias("_h"), F.substring(text, 1, chars).alias("_t"))
-    return [r._t for r in rows.orderBy("_h", "_t").limit(limit).collect()]
+    share = 2 * limit / max(1, df.count())
+    while True:
+        low = rows if share >= 1 else rows.where(F.col("_h") < int(share * 2**64) - 2**63)
+        found = low.orderBy("_h", "_t").limit(limit).collect()
+        if len(found) == limit or share >= 1:
+            return [r._t for r in found]
+        share *= 4
 
 
 def statistics(df: DataFrame, texts: list[str], text: str = "text") -> tuple[dict[str, int], Kinds]:
