@@ -23,11 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from whitebrook.functions.text import TRANSIENT
 from whitebrook.schemas import RESULT
 
-#: Statuses after which the same request may succeed later (fixed values).
-TRANSIENT = frozenset({408, 429, 500, 502, 503, 504, 529})
-
 Embedder = Callable[[list[str]], tuple[np.ndarray, dict]]
 
 
