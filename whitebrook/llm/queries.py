@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding, mixing, neardup, quality, repetition, sentences, splitting, token_budget
-from .scan import ensure_checkpoint_dir, table
+from .scan import ensure_checkpoint_dir, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,19 +21,19 @@ def _words(spark: SparkSession, d: str) -> frozenset[str]:
 
 
 def _document_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return token_budget.token_counts(table(spark, d, "documents"), "doc_id", keep=("source",), trie=False)
+    return token_budget.token_counts(texts(spark, d, "documents"), "doc_id", keep=("source",), trie=False)
 
 
 def p1_found(spark, d):
-    return repetition.repetitive_rows(table(spark, d, "corpus"))
+    return repetition.repetitive_rows(texts(spark, d, "corpus"))
 
 
 def p1_repetition(spark, d):
-    return repetition.repetition(table(spark, d, "corpus"))
+    return repetition.repetition(texts(spark, d, "corpus"))
 
 
 def p1_shares(spark, d):
-    return repetition.repetition(table(spark, d, "corpus")).select("row_id", "n_letters", F.round("repeated_share", 9).alias("repeated_share"))
+    return repetition.repetition(texts(spark, d, "corpus")).select("row_id", "n_letters", F.round("repeated_share", 9).alias("repeated_share"))
 
 
 def p2_found(spark, d):
@@ -45,15 +45,15 @@ def p2_pieces(spark, d):
 
 
 def p3_found(spark, d):
-    return quality.not_prose(table(spark, d, "corpus"))
+    return quality.not_prose(texts(spark, d, "corpus"))
 
 
 def p3_statistics(spark, d):
-    return quality.quality(table(spark, d, "corpus"), _words(spark, d))
+    return quality.quality(texts(spark, d, "corpus"), _words(spark, d))
 
 
 def p3_words(spark, d):
-    counts = quality.quality(table(spark, d, "corpus"), _words(spark, d))
+    counts = quality.quality(texts(spark, d, "corpus"), _words(spark, d))
     return counts.select("row_id", "n_chars_true", "word_count", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "common_word_share")])
 
 
@@ -66,28 +66,28 @@ def p4_groups(spark, d):
 
 
 def p5_found(spark, d):
-    counts = token_budget.token_counts(table(spark, d, "corpus"), "row_id")
+    counts = token_budget.token_counts(texts(spark, d, "corpus"), "row_id")
     return token_budget.misfit_reports(counts, table(spark, d, "embed_index"), table(spark, d, "cost_report"))
 
 
 def p5_budget(spark, d):
-    return token_budget.budget(token_budget.token_counts(table(spark, d, "corpus"), "row_id", keep=("source", "lang", "domain")))
+    return token_budget.budget(token_budget.token_counts(texts(spark, d, "corpus"), "row_id", keep=("source", "lang", "domain")))
 
 
 def p5_greedy(spark, d):
     """By source, the exact tokens and those of longest match, the linear count for vocabularies without merges."""
-    counts = token_budget.greedy_counts(table(spark, d, "corpus"), "row_id", keep=("source",))
+    counts = token_budget.greedy_counts(texts(spark, d, "corpus"), "row_id", keep=("source",))
     return counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_greedy").alias("n_greedy"))
 
 
 def p6_ids(spark, d):
-    return encoding.token_ids(table(spark, d, "documents"))
+    return encoding.token_ids(texts(spark, d, "documents"))
 
 
 def p6_roundtrip(spark, d):
     """Documents whose ids do not decode to their text."""
-    whole = encoding.decode(encoding.token_ids(table(spark, d, "documents"))).withColumnRenamed("text", "decoded")
-    return table(spark, d, "documents").select("doc_id", "text").join(whole, "doc_id").where("decoded <> coalesce(text, '')").select("doc_id")
+    whole = encoding.decode(encoding.token_ids(texts(spark, d, "documents"))).withColumnRenamed("text", "decoded")
+    return texts(spark, d, "documents").select("doc_id", "text").join(whole, "doc_id").where("decoded <> coalesce(text, '')").select("doc_id")
 
 
 def p7_found(spark, d):
@@ -104,7 +104,7 @@ def p7_shares(spark, d):
 
 
 def p8_found(spark, d):
-    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "sent_start")
+    return sentences.sentences(texts(spark, d, "documents")).select("doc_id", "sent_start")
 
 
 def queries() -> dict[str, Query]:

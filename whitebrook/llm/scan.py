@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from whitebrook.sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts go through Python; one of few partitions is dealt out to all cores first."""
+    return spread(table(spark, sf_dir, name))
+
+
 def scan(df: DataFrame, columns: list[str], schema: str, per_batch: Callable[..., list]) -> DataFrame:
     """Run per_batch over Arrow batches of the named columns.
 
