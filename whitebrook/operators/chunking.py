@@ -104,7 +104,7 @@ def fold_tiny(chunks, min_chars: int = MIN_CHARS) -> Column:
     def folded(lists: pd.Series) -> pd.Series:
         return lists.map(lambda x: None if x is None else merge_tiny(list(x), min_chars))
 
-    return folded(tx.col(chunks))
+    return folded.asNondeterministic()(tx.col(chunks))
 
 
 def strip_fragments(chunks) -> Column:
@@ -124,7 +124,8 @@ def split_column(text, tokenizer: str = "byte_bpe_50k", size: int = SIZE, overla
         n = length or lengths_of(tokenizer)
         return texts.map(lambda t: merge_tiny(split(t or "", n, size, overlap, separators, keep), min_chars) if t else [])
 
-    return pieces(tx.col(text))
+    # else a generator over the pieces infers a filter from them, which splits every text twice
+    return pieces.asNondeterministic()(tx.col(text))
 
 
 def enumerate_chunks(df: DataFrame, chunks: str = "chunks") -> DataFrame:

@@ -18,7 +18,7 @@ from whitebrook.operators import moments as mo
 from whitebrook.operators import whitening as wh
 from whitebrook.plans import catalog
 from whitebrook.sources import adapters, tables
-from whitebrook.sources.tables import table
+from whitebrook.sources.tables import spread, table
 from whitebrook.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,12 +138,12 @@ def token_truncate_words(spark, d):
 
 
 def bpe_token_stats(spark, d):
-    return tokens.stats(table(spark, d, "documents", "text").select(tokens.count("text").alias("n_tokens")), most=512)
+    return tokens.stats(spread(table(spark, d, "documents", "text")).select(tokens.count("text").alias("n_tokens")), most=512)
 
 
 def bpe_truncate(spark, d):
     cut = tokens.truncate("text", WORD_CAP)
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", cut.alias("c")).select("doc_id", "c.n_tokens", "c.capped", F.length("c.text").alias("n_chars"))
+    return spread(table(spark, d, "documents", "doc_id", "text")).select("doc_id", cut.alias("c")).select("doc_id", "c.n_tokens", "c.capped", F.length("c.text").alias("n_chars"))
 
 
 # --- pieces ---
@@ -167,7 +167,7 @@ def chunk_explode_idx(spark, d):
 
 
 def _chunked(spark, d) -> DataFrame:
-    return chunking.chunk_documents(table(spark, d, "corpus", "row_id", "source", "text", "sha"), tokenizer="words", size=128, overlap=16)
+    return chunking.chunk_documents(spread(table(spark, d, "corpus", "row_id", "source", "text", "sha")), tokenizer="words", size=128, overlap=16)
 
 
 def chunk_documents(spark, d):
@@ -175,7 +175,7 @@ def chunk_documents(spark, d):
 
 
 def chunk_documents_bpe(spark, d):
-    return chunking.chunk_documents(table(spark, d, "corpus", "row_id", "source", "text", "sha"))
+    return chunking.chunk_documents(spread(table(spark, d, "corpus", "row_id", "source", "text", "sha")))
 
 
 def chunk_invariants(spark, d):
@@ -384,7 +384,7 @@ def embed_hashing(spark, d):
 
 
 def _embedded(spark, d) -> DataFrame:
-    rows = table(spark, d, "corpus", "row_id", "sha", "source", "text")
+    rows = spread(table(spark, d, "corpus", "row_id", "sha", "source", "text"))
     return embedding.vectors(embedding.embed_rows(rows, embedding.HashingEmbedder(DIM))).select("row_id", F.size("embedding").alias("dim"), (F.abs(vx.norm("embedding") - 1) < 1e-5).alias("unit"))
 
 

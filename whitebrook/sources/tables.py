@@ -18,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has less than half as many partitions as there are cores dealt out to all of them, any other as it is.
+
+    Such a table is small, or one row group; only then is what follows worth a shuffle. Give plain scans.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def n_rows(df: DataFrame) -> DataFrame:
     """One row with the count; no column is read."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
